@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,20 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below the shared checkpoint folder.
 
@@ -37,6 +53,53 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Intermediate tables in the shared folder, each dropped when its successor is there."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write as Parquet and read back; the table written under this name before is deleted."""
+        path = shared_dir(self.spark)
+        df.write.parquet(path)
+        self.drop(name)
+        self.held[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.held.pop(name, None):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with over this share of all rows is heavy; there are fewer such keys than its inverse.
+HEAVY = 1000
+
+
+def attach(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFrame:
+    """Left join ``rows`` to a table with one row per ``key``, safe for heavy keys.
+
+    ``key`` is a string or binary column and ``count`` says how many of the rows
+    have each key. Keys with over a thousandth of the counted rows are fewer
+    than a thousand, so they are broadcast; rows that met one get a key of their
+    own for the shuffled join with the rest, so no task receives a heavy key.
+    """
+    names = [c for c in unique.columns if c not in (key, count)]
+    total = unique.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    if not total:
+        return rows.select("*", *[F.lit(None).cast(unique.schema[c].dataType).alias(c) for c in names])
+    pack = F.struct(*names)
+    heavy = unique.where(F.col(count) * HEAVY > F.lit(total)).select(F.col(key), pack.alias("_heavy"))
+    light = unique.where(F.col(count) * HEAVY <= F.lit(total)).select(F.col(key).alias("_key"), pack.alias("_light"))
+    met = rows.join(F.broadcast(heavy), key, "left").withColumn("_own", F.monotonically_increasing_id())
+    own = F.concat(F.lit("row "), F.col("_own").cast("string")).cast(rows.schema[key].dataType)
+    met = met.withColumn("_key", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), own).otherwise(F.col(key)))
+    found = met.join(light, "_key", "left").withColumn("_found", F.coalesce("_heavy", "_light"))
+    return found.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

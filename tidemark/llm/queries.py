@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, packing, sharding
+from tidemark.llm import decontamination, neardup, packing, sharding, warc
+from tidemark.llm.common import ship
 
 
 def _read(spark: SparkSession, base: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, base, "documents"), neardup.Rule(words=3, percent=85))
+
+
 def op5_best_fit_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack_documents(_read(spark, base, "documents"))
 
@@ -22,13 +28,20 @@ def op6_benchmark_decontamination(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_warc(spark: SparkSession, base: str) -> DataFrame:
+    history = warc.archive_pages(_read(spark, base, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sharding(spark: SparkSession, base: str) -> DataFrame:
     return sharding.documents_to_shards(_read(spark, base, "documents")).drop("row_number")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_warc": op8_warc,
     "op10_sharding": op10_sharding,
 }
 
@@ -49,4 +62,14 @@ t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+    # Ten hexadecimal digits at a time make eight of base 32.
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, coalesce(url, '') AS url, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(i // 8 * 10 + 1 AS INTEGER), 10) AS BIGINT) >> CAST(35 - i % 8 * 5 AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN g USING (html)""",
 }
