@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, neardup, packing, sharding, warc
+from tidemark.llm import decontamination, neardup, packing, quality, secrets, sharding, warc
 from tidemark.llm.common import ship
 
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def op2_secret_scans(spark: SparkSession, base: str) -> DataFrame:
+    return secrets.secret_report(_read(spark, base, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, base: str) -> DataFrame:
+    return quality.judge(_read(spark, base, "documents"), _read(spark, base, "labels"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, base: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, base, "documents"), neardup.Rule(words=3, percent=85))
 
@@ -38,6 +46,8 @@ def op10_sharding(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
+    "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
