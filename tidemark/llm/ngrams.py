@@ -23,22 +23,42 @@ def hashes(word_list: Column) -> Column:
     return F.transform(word_list, lambda w: F.xxhash64(w))
 
 
-def bucketed(word_hashes: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of all words and of all pairs of neighbours."""
-    mask = F.lit(buckets - 1).cast("bigint")
-    single = F.transform(word_hashes, lambda h: h.bitwiseAND(mask).cast("int"))
-    n = F.size(word_hashes)
-    pair = F.zip_with(F.slice(word_hashes, 1, n - 1), F.slice(word_hashes, 2, n - 1), lambda a, b: F.xxhash64(a, b).bitwiseAND(mask).cast("int"))
-    return F.when(n > 1, F.concat(single, pair)).otherwise(single)
+def neighbours(values: Column, step: int = 1) -> Column:
+    """Hashes of each value with the one ``step`` further on; empty where there is none."""
+    n = F.size(values) - step
+    joined = F.zip_with(F.slice(values, 1, n), F.slice(values, step + 1, n), lambda a, b: F.xxhash64(a, b))
+    return F.when(n > 0, joined).otherwise(F.array().cast("array<bigint>"))
+
+
+def bucket(value: Column, buckets: int = BUCKETS) -> Column:
+    return value.bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int")
+
+
+def bucket_counts(texts: DataFrame, weights: dict[str, Column], buckets: int = BUCKETS) -> dict[str, list[int]]:
+    """Per bucket, the sums of integer row weights over all words and pairs of neighbours of ``text``.
+
+    Words are paired and exploded before they are hashed, which keeps the whole
+    count in generated code. At most ``buckets`` rows reach the driver.
+    """
+    listed = texts.select(*[w.cast("bigint").alias(name) for name, w in weights.items()], words(F.col("text")).alias("w"))
+    pairs = listed.select(*weights, F.inline(F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("after"))))
+    single = F.xxhash64("w")
+    both = F.when(F.col("after").isNotNull(), bucket(F.xxhash64(single, F.xxhash64("after")), buckets))
+    grams = pairs.select(*weights, F.explode(F.array(bucket(single, buckets), both)).alias("bucket")).where("bucket IS NOT NULL")
+    return _gathered(grams, list(weights), buckets)
 
 
 def bucket_sums(rows: DataFrame, grams: str, weights: dict[str, Column], buckets: int = BUCKETS) -> dict[str, list[int]]:
-    """Per bucket, the sums over all n-grams of integer row weights. At most ``buckets`` rows reach the driver."""
-    narrow = rows.select(*[w.cast("bigint").alias(name) for name, w in weights.items()], F.explode(grams).alias("_bucket"))
-    out = {name: [0] * buckets for name in weights}
-    for row in narrow.groupBy("_bucket").agg(*[F.sum(name).alias(name) for name in weights]).collect():
-        for name in weights:
-            out[name][row["_bucket"]] = int(row[name] or 0)
+    """The same over a column of buckets."""
+    grams = rows.select(*[w.cast("bigint").alias(name) for name, w in weights.items()], F.explode(grams).alias("bucket"))
+    return _gathered(grams, list(weights), buckets)
+
+
+def _gathered(grams: DataFrame, names: list[str], buckets: int) -> dict[str, list[int]]:
+    out = {name: [0] * buckets for name in names}
+    for row in grams.groupBy("bucket").agg(*[F.sum(name).alias(name) for name in names]).collect():
+        for name in names:
+            out[name][row["bucket"]] = int(row[name] or 0)
     return out
 
 
@@ -60,5 +80,10 @@ def table(values: list[int]) -> Column:
 
 
 def score(grams: Column, weights: Column) -> Column:
-    """The sum of the n-grams' weights."""
+    """The sum of the weights of buckets."""
     return F.aggregate(grams, F.lit(0).cast("bigint"), lambda total, g: total + F.get(weights, g))
+
+
+def score_hashes(values: Column, weights: Column, buckets: int = BUCKETS) -> Column:
+    """The sum of the weights of hashes' buckets."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, h: total + F.get(weights, bucket(h, buckets)))

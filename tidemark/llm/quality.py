@@ -37,24 +37,25 @@ def repeated_words(hashes: Column, repeats: Column) -> Column:
 
 
 def surface(documents: DataFrame) -> DataFrame:
-    """Add ``_hashes`` and the surface counts of every text.
+    """Add ``_hashes``, ``_pairs`` and the surface counts of every text.
 
-    Windows of eight words are compared by 64-bit hashes within one text.
+    Windows of eight words are compared by 64-bit hashes within one text: pairs
+    of words, pairs of those, and pairs again.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, SPACES, "")
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    df = documents.withColumn("_words", ngrams.words(F.col("text"))).withColumn("_lines", lines)
-    df = df.withColumn("_hashes", ngrams.hashes(F.col("_words")))
-    windows = F.transform(F.sequence(F.lit(1), F.size("_hashes") - (REPEAT - 1)), lambda i: F.xxhash64(F.slice("_hashes", i, REPEAT)))
-    df = df.withColumn("_windows", F.when(F.size("_hashes") > REPEAT, windows))
+    df = documents.withColumn("_hashes", ngrams.hashes(ngrams.words(F.col("text")))).withColumn("_lines", lines)
+    df = df.withColumn("_pairs", ngrams.neighbours(F.col("_hashes")))
+    df = df.withColumn("_windows", F.when(F.size("_hashes") > REPEAT, ngrams.neighbours(ngrams.neighbours(F.col("_pairs"), 2), 4)))
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
     df = df.withColumn("_sorted", F.when(some, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
     starts = F.array_sort(F.transform(F.filter("_sorted", lambda e, i: F.coalesce(e["h"] == F.get("_sorted", i - 1)["h"], F.lit(False)) | F.coalesce(e["h"] == F.get("_sorted", i + 1)["h"], F.lit(False))), lambda e: e["at"]))
     return df.select(
         *[F.col(f"`{c}`") for c in documents.columns],
         "_hashes",
-        F.size("_words").cast("bigint").alias("n_words"),
+        "_pairs",
+        F.size("_hashes").cast("bigint").alias("n_words"),
         F.length(bare).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
@@ -71,23 +72,22 @@ def trusted_ids(labels: DataFrame, limit: int) -> DataFrame:
 def fit_ratio(documents: DataFrame, labels: DataFrame, ratio: Ratio = Ratio()) -> list[int]:
     """Weights per bucket: trusted documents, a bounded number of them, against all documents."""
     trusted = trusted_ids(labels, ratio.trusted).withColumn("_trusted", F.lit(1))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), ngrams.hashes(ngrams.words(F.col("text"))).alias("_hashes"))
-    rows = rows.join(F.broadcast(trusted), "doc_id", "left").withColumn("_grams", ngrams.bucketed(F.col("_hashes"), ratio.buckets))
-    sums = ngrams.bucket_sums(rows, "_grams", {"raw": F.lit(1), "target": F.coalesce("_trusted", F.lit(0))}, ratio.buckets)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(trusted), "doc_id", "left")
+    sums = ngrams.bucket_counts(rows, {"raw": F.lit(1), "target": F.coalesce("_trusted", F.lit(0))}, ratio.buckets)
     return ngrams.log_ratio(sums["target"], sums["raw"])
 
 
 def apply_rules(documents: DataFrame, weights: list[int], ratio: Ratio = Ratio()) -> DataFrame:
     """Documents with the surface counts, ``ratio_score`` (thousandths of a nat per n-gram), ``base_failed`` and ``kept``."""
-    df = surface(documents).withColumn("_grams", ngrams.bucketed(F.col("_hashes"), ratio.buckets))
-    total = ngrams.score(F.col("_grams"), ngrams.table(weights))
-    df = df.withColumn("_score", total).withColumn("_n", F.size("_grams").cast("bigint"))
+    table = ngrams.table(weights)
+    total = ngrams.score_hashes(F.col("_hashes"), table, ratio.buckets) + ngrams.score_hashes(F.col("_pairs"), table, ratio.buckets)
+    df = surface(documents).withColumn("_score", total).withColumn("_n", (F.size("_hashes") + F.size("_pairs")).cast("bigint"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         df.withColumn("ratio_score", F.when(F.col("_n") > 0, F.col("_score") / F.col("_n")).otherwise(F.lit(0.0)))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("_score") >= F.lit(ratio.threshold) * F.col("_n")))
-        .drop("_hashes", "_grams", "_score", "_n")
+        .drop("_hashes", "_pairs", "_score", "_n")
     )
 
 

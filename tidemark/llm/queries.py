@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, neardup, packing, quality, secrets, sharding, warc
+from tidemark.llm import decontamination, neardup, packing, quality, secrets, sharding, warc, weak
 from tidemark.llm.common import ship
 
 
@@ -41,6 +41,10 @@ def op8_warc(spark: SparkSession, base: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality_classifier(spark: SparkSession, base: str) -> DataFrame:
+    return weak.classify(_read(spark, base, "documents"))
+
+
 def op10_sharding(spark: SparkSession, base: str) -> DataFrame:
     return sharding.documents_to_shards(_read(spark, base, "documents")).drop("row_number")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_warc": op8_warc,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
 }
 
