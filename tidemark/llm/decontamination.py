@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import cut
 
@@ -121,8 +122,20 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = W
     named by the empty string; items that share an id count once. No row is
     moved: the scan needs no shuffle.
     """
-    narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scanned(documents, benchmark, size, block_bytes, [])
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, with their own columns; nothing is joined or moved."""
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_own")
+    return _scanned(documents, benchmark, size, block_bytes, [own]).where("NOT contaminated").select("_own.*")
+
+
+def _scanned(documents: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, carried: list) -> DataFrame:
+    narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    names = narrow.columns[2:]
     state = narrow.withColumn("_runs", F.lit(None).cast("array<bigint>")).withColumn("_items", F.lit(None).cast("array<string>"))
+    state = state.select("doc_id", "text", "_runs", "_items", *names)
     blocks = item_blocks(benchmark, size, block_bytes)
     block = next(blocks)
     while block is not None:
@@ -158,9 +171,11 @@ def _pass(state: DataFrame, block: list[tuple[str, str | None]], size: int, last
                 out.append((doc_id, len(words), n_hit, len(named), digest, n_hit > 0 and 20 * n_hit >= len(words), named, spans))
             schema = RESULT if last else STATE
             columns = list(zip(*out, strict=True)) or [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            made = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[4:]], names=[*schema.names, *batch.schema.names[4:]])
 
-    return state.mapInArrow(mark, RESULT_DDL if last else STATE_DDL)
+    made = StructType.fromDDL(RESULT_DDL if last else STATE_DDL).fields
+    return state.mapInArrow(mark, StructType([*made, *state.schema.fields[4:]]))
 
 
 STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("_runs", pa.list_(pa.int64())), ("_items", pa.list_(pa.string()))])

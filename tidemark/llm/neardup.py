@@ -267,3 +267,13 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     tables.drop("near", "clusters", "nodes", "linked", "named", "smallest")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The documents without their near duplicates: of each group the one with the smallest doc_id stays, once.
+
+    Rows with a null doc_id are not linked and all stay.
+    """
+    kept = near_duplicates(documents, rule).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    own = documents.join(kept, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return own.unionByName(documents.where("doc_id IS NULL"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, neardup, packing, quality, secrets, sharding, warc, weak
+from tidemark.llm import chat, decontamination, licenses, neardup, packing, quality, secrets, sharding, warc, weak
 from tidemark.llm.common import ship
 
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+#: The argument schemas of the tools that conversations may call.
+TOOLS = {"search": {"query": "string", "limit?": "integer"}, "calculate": {"expression": "string"}, "fetch": {"url": "string"}}
+
+
+def op1_chat_formatting(spark: SparkSession, base: str) -> DataFrame:
+    return chat.format_chats(_read(spark, base, "conversations"), TOOLS)
+
+
 def op2_secret_scans(spark: SparkSession, base: str) -> DataFrame:
     return secrets.secret_report(_read(spark, base, "documents"))
 
@@ -36,6 +44,10 @@ def op6_benchmark_decontamination(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_license_scans(spark: SparkSession, base: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, base, "documents"))
+
+
 def op8_warc(spark: SparkSession, base: str) -> DataFrame:
     history = warc.archive_pages(_read(spark, base, "pages"))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,11 +62,13 @@ def op10_sharding(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_license_scans": op7_license_scans,
     "op8_warc": op8_warc,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
