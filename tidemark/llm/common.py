@@ -100,6 +100,15 @@ def attach(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFram
     return found.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    Spark copies a column's expression into filters that it pushes below a
+    projection; it doesn't push them below the generator used here.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngrams
-from tidemark.llm.common import SPACES
+from tidemark.llm.common import SPACES, once
 
 #: Notices by family, as licensors write them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -107,19 +107,14 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.btrim("text", F.lit(SPACES))).where("text <> ''")
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once: neither copied into its uses nor into filters pushed below it."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_features(rows: DataFrame, buckets: int) -> DataFrame:
     """Add ``_grams``: buckets of the lower-cased words, without punctuation at their ends, and of pairs."""
     clean = F.regexp_replace(F.lower("text"), r"[^a-z0-9.+-]+|[.](?![0-9])", " ")
-    rows = _once(rows, "_clean", F.btrim(clean))
-    rows = _once(rows.where("_clean <> ''"), "_hashes", ngrams.hashes(F.split("_clean", " +", -1)))
-    rows = _once(rows, "_pairs", ngrams.neighbours(F.col("_hashes")))
+    rows = once(rows, "_clean", F.btrim(clean))
+    rows = once(rows.where("_clean <> ''"), "_hashes", ngrams.hashes(F.split("_clean", " +", -1)))
+    rows = once(rows, "_pairs", ngrams.neighbours(F.col("_hashes")))
     grams = F.transform(F.concat("_hashes", "_pairs"), lambda h: ngrams.bucket(h, buckets))
-    return _once(rows, "_grams", grams).drop("_clean", "_hashes", "_pairs")
+    return once(rows, "_grams", grams).drop("_clean", "_hashes", "_pairs")
 
 
 def _variants(text: str) -> list[str]:
@@ -183,11 +178,11 @@ def scan(documents: DataFrame, model: Model, training: Training = Training()) ->
     """
     rows = with_features(paragraphs(documents), training.buckets)
     weighty = F.split(F.lit(",".join("1" if row.any() else "0" for row in model.weights)), ",").cast("array<int>")
-    rows = _once(rows, "_hits", F.filter("_grams", lambda g: F.get(weighty, g) == 1)).where(F.size("_hits") > 0)
+    rows = once(rows, "_hits", F.filter("_grams", lambda g: F.get(weighty, g) == 1)).where(F.size("_hits") > 0)
     scale = F.sqrt(F.size("_grams").cast("double"))
     logits = [ngrams.score(F.col("_hits"), ngrams.table(model.weights[:, k].tolist())) / scale + F.lit(int(model.bias[k])) for k in range(len(model.classes))]
-    rows = _once(rows, "_logits", F.array(*logits)).withColumn("_top", F.array_max("_logits"))
-    rows = _once(rows, "_class", F.array_position("_logits", F.col("_top")).cast("int")).where(F.col("_class") <= len(TEMPLATES))
+    rows = once(rows, "_logits", F.array(*logits)).withColumn("_top", F.array_max("_logits"))
+    rows = once(rows, "_class", F.array_position("_logits", F.col("_top")).cast("int")).where(F.col("_class") <= len(TEMPLATES))
     total = F.aggregate("_logits", F.lit(0.0), lambda a, z: a + F.exp((z - F.col("_top")) / ngrams.SCALE))
     rows = rows.withColumn("chance", F.round(F.lit(1.0) / total, 6)).withColumn("family", F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("_class") - 1))
     shares = F.lit(0.0)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngrams
-from tidemark.llm.common import SPACES
+from tidemark.llm.common import SPACES, once
 
 SYMBOLS = "#*$%&|<>"
 REPEAT = 8
@@ -83,12 +83,12 @@ def apply_rules(documents: DataFrame, weights: list[int], ratio: Ratio = Ratio()
     total = ngrams.score_hashes(F.col("_hashes"), table, ratio.buckets) + ngrams.score_hashes(F.col("_pairs"), table, ratio.buckets)
     df = surface(documents).withColumn("_score", total).withColumn("_n", (F.size("_hashes") + F.size("_pairs")).cast("bigint"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return (
-        df.withColumn("ratio_score", F.when(F.col("_n") > 0, F.col("_score") / F.col("_n")).otherwise(F.lit(0.0)))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("_score") >= F.lit(ratio.threshold) * F.col("_n")))
-        .drop("_hashes", "_pairs", "_score", "_n")
-    )
+    values = {c: F.col(c) for c in RESULTS[:5]}
+    values["ratio_score"] = F.when(F.col("_n") > 0, F.col("_score") / F.col("_n")).otherwise(F.lit(0.0))
+    values["base_failed"] = failed
+    values["kept"] = ~failed & (F.col("_score") >= F.lit(ratio.threshold) * F.col("_n"))
+    judged = once(df, "_judged", F.struct(*[v.alias(c) for c, v in values.items()]))
+    return judged.select(*[F.col(f"`{c}`") for c in documents.columns], "_judged.*")
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio_score", "base_failed", "kept")

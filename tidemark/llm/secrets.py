@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import once
+
 #: Letters of either case, spelled out so that every regex engine reads them alike.
 _KEYWORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = rf"""(?:{_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -156,8 +158,9 @@ def scan_secrets(documents: DataFrame, rule: Entropy = Entropy()) -> DataFrame:
     df = df.withColumn("_dense", F.when(F.size("_runs") > 0, dense))
     spans = F.transform(F.filter("_dense", lambda d: d["w"]["first"].isNotNull()), lambda d: F.struct((d["at"] + d["w"]["first"]).alias("start"), (d["at"] + d["w"]["last"]).alias("end")))
     fresh = F.filter(spans, lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
-    df = df.withColumn("found", F.array_sort(F.concat("base", F.coalesce(_kind(fresh, "entropy"), empty))))
-    return df.withColumn("text", F.col("_text")).drop("_text", "_assign", "_access", "_hex", "_runs", "_dense")
+    spans = F.struct("base", F.array_sort(F.concat("base", F.coalesce(_kind(fresh, "entropy"), empty))).alias("found"))
+    df = once(df.withColumn("text", F.col("_text")), "_spans", spans)
+    return df.select(*[F.col(f"`{c}`") for c in documents.columns if c not in ("base", "found")], "_spans.*")
 
 
 def secret_report(documents: DataFrame, rule: Entropy = Entropy()) -> DataFrame:
