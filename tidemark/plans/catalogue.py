@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import cached
 from tidemark.plans.dialect import to_spark
 from tidemark.sources import views
 
@@ -177,3 +178,6 @@ ORACLE_SQL |= {
     "params_bind": "SELECT p_partkey FROM part WHERE p_size = 7 AND p_brand <> 'Brand#11'",
     "expr_arith_intdiv": "SELECT p_partkey, CAST(trunc(p_size / 4) AS BIGINT) AS q, CAST(trunc(-p_size / 4) AS BIGINT) AS neg, -p_size % 4 AS r FROM part",
 }
+
+QUERIES |= cached.QUERIES
+ORACLE_SQL |= cached.ORACLE_SQL
