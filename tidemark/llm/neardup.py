@@ -172,7 +172,7 @@ def _close_in_sketch(blocks: DataFrame, rule: Rule) -> DataFrame:
             i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
 
             def links() -> Iterator[tuple[int, np.ndarray]]:
-                for a in range(len(nodes) - 1):
+                for a in range(len(nodes)):
                     others = np.arange(a + 1, len(nodes)) if i == j else np.flatnonzero(chunk == j) if chunk[a] == i else ()
                     if not len(others):
                         continue
@@ -212,7 +212,7 @@ def _linked_in_full(blocks: DataFrame, rule: Rule) -> DataFrame:
             def links() -> Iterator[tuple[int, np.ndarray]]:
                 has = np.zeros(len(vocabulary), np.int32)
                 later = np.flatnonzero(side == j)
-                for a in range(len(nodes) - 1):
+                for a in range(len(nodes)):
                     if i != j and side[a] != i:
                         continue
                     has[ids[starts[a] : starts[a + 1]]] = 1

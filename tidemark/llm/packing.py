@@ -63,10 +63,12 @@ def _fits(need: tuple[int, ...], count: np.ndarray) -> int:
     return min(int(count[x]) // need.count(x) for x in set(need))
 
 
-def _fill(gap: int, count: np.ndarray, most: int) -> tuple[int, ...] | None:
-    """Lengths that sum to ``gap`` exactly and are in stock: one, else two, else three, the longest first."""
+def _fill(gap: int, count: np.ndarray, most: int, parts: int = 3) -> tuple[int, ...] | None:
+    """Lengths that sum to ``gap`` exactly and are in stock: one, else two, else three, ``parts`` at most, the longest first."""
     if gap <= most and count[gap] > 0:
         return (gap,)
+    if parts < 2:
+        return None
 
     def pair(total: int, top: int) -> tuple[int, int] | None:
         a = np.arange(min(top, total - 1), (total + 1) // 2 - 1, -1)
@@ -75,6 +77,8 @@ def _fill(gap: int, count: np.ndarray, most: int) -> tuple[int, ...] | None:
 
     if found := pair(gap, most):
         return found
+    if parts < 3:
+        return None
     for a in range(min(gap - 2, most), (gap + 2) // 3 - 1, -1):
         if count[a] > 0:
             count[a] -= 1
@@ -86,32 +90,40 @@ def _fill(gap: int, count: np.ndarray, most: int) -> tuple[int, ...] | None:
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Pack the histogram's pieces, exact complements first, then best fit."""
+    """Pack the histogram's pieces, exact complements first, then best fit.
+
+    Complements are consumed in several orders (length by length; all singles,
+    then all pairs, then all triples; singles alone, the rest by best fit), and
+    the plan of the fewest sequences counts.
+    """
     count = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit in {capacity}")
         count[length] += n
+    plans = [_plan(count.copy(), capacity, passes) for passes in ((3,), (1, 2, 3), (1,))]
+    return min(plans, key=lambda plan: plan.sequences)
+
+
+def _plan(count: np.ndarray, capacity: int, passes: tuple[int, ...]) -> Plan:
     plan = Plan(capacity)
     if count[capacity]:
         plan.patterns.append(((capacity,), int(count[capacity])))
         count[capacity] = 0
-    rest: list[tuple[int, int]] = []
-    for length in range(capacity - 1, 0, -1):
-        while count[length] > 0:
-            count[length] -= 1
-            others = _fill(capacity - length, count, capacity - 1)
-            count[length] += 1
-            if others is None:
-                rest.append((length, int(count[length])))
-                count[length] = 0
-                break
-            pattern = (length, *others)
-            n = _fits(pattern, count)
-            for x in pattern:
-                count[x] -= n
-            plan.patterns.append((pattern, n))
-    _best_fit(rest, plan)
+    for parts in passes:
+        for length in range(capacity - 1, 0, -1):
+            while count[length] > 0:
+                count[length] -= 1
+                others = _fill(capacity - length, count, capacity - 1, parts)
+                count[length] += 1
+                if others is None:
+                    break
+                pattern = (length, *others)
+                n = _fits(pattern, count)
+                for x in pattern:
+                    count[x] -= n
+                plan.patterns.append((pattern, n))
+    _best_fit([(x, int(count[x])) for x in range(capacity - 1, 0, -1) if count[x]], plan)
     return plan
 
 
