@@ -77,7 +77,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _DECON_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """Located matches of one kind: what stands between matches gives their places."""
+    p = _quoted(pattern)
+    return f"""SELECT r, '{kind}' AS k, {rank} AS n, what, s, s + length(what) AS e FROM (
+SELECT r, z.f AS what, sum(length(z.g)) OVER w + coalesce(sum(length(z.f)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+FROM (SELECT r, unnest(list_transform(range(1, len(f) + 1), lambda i: {{'i': i, 'f': f[i], 'g': g[i]}})) AS z FROM
+(SELECT r, regexp_extract_all(t, {p}) AS f, regexp_split_to_array(t, {p}) AS g FROM d)) WINDOW w AS (PARTITION BY r ORDER BY z.i)) WHERE {keep}"""
+
+
+_KINDS = " UNION ALL ".join(
+    (
+        _matches("assign", 0, secrets.ASSIGN, f"length(regexp_extract(what, {_quoted(secrets.ASSIGN)}, 1)) >= {secrets.ASSIGN_LEAST}"),
+        _matches("access", 1, "AKIA[A-Z0-9]+", "length(what) >= 20"),
+        _matches("hex", 2, "[0-9a-f]+", "length(what) >= 24"),
+    )
+)
+_HEX, _MIXED, _ALPHANUMERIC = secrets.CLASSES
+_HAS = "regexp_matches(what, '[{}]')"
+_LIMIT = (
+    f"CASE WHEN regexp_matches(what, {_quoted(_HEX[1])}) THEN {_HEX[2]} WHEN {_HAS.format('a-z')} AND {_HAS.format('A-Z')} AND {_HAS.format('0-9')} THEN {_MIXED[2]}"
+    f" WHEN {_HAS.format('A-Za-z')} AND {_HAS.format('0-9')} THEN {_ALPHANUMERIC[2]} END"
+)
+_UNKNOWN = " AND ".join(f"NOT regexp_matches(what, {_quoted(p)})" for p in secrets.ALLOWED)
+
 ORACLE_SQL: dict[str, str] = {
+    # For messages without tool calls, which are all that the table holds.
+    "op1_chat_formatting": """
+SELECT conv_id, turn, role, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid, CAST(NULL AS INTEGER) AS level,
+  '{"content":' || to_json(coalesce(text, '')) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS message
+FROM conversations""",
+    "op2_secret_scans": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({_KINDS}),
+c AS (SELECT *, {_LIMIT} AS bits FROM ({_matches("entropy", 3, secrets.CANDIDATE, _UNKNOWN)})),
+h AS (SELECT r, k, n, s, list_filter(range(1, CAST(length(what) AS BIGINT) - {secrets.WINDOW - 2}), lambda i: list_entropy(string_split(substr(what, i, {secrets.WINDOW}), '')) >= bits - 1e-9) AS dense FROM c WHERE bits IS NOT NULL),
+x AS (SELECT r, k, n, s + list_min(dense) - 1 AS s, s + list_max(dense) + {secrets.WINDOW - 1} AS e FROM h WHERE len(dense) > 0),
+a AS (SELECT r, k, n, s, e FROM b UNION ALL SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = x.r AND b.s <= x.s AND b.e >= x.e)),
+g AS (SELECT r, count(*) FILTER (WHERE k = 'assign') AS n_assign, count(*) FILTER (WHERE k = 'access') AS n_access, count(*) FILTER (WHERE k = 'hex') AS n_hex,
+  coalesce(string_agg(k || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, n) FILTER (WHERE n < 3), '') AS base,
+  string_agg(k || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, n) AS spans FROM a GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)""",
+    "op4_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x),
+m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""",
     "op6_benchmark_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_DECON_WORDS} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_DECON_WORDS} AS w FROM benchmark),
