@@ -18,9 +18,15 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch. Texts are long; Spark's own 10,000 rows of them fill a worker's memory.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't have it installed."""
+    """Make this package importable in Python workers that don't have it installed, and their batches small unless set otherwise."""
     context = spark.sparkContext
+    if context.getConf().get(BATCH_SETTING) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     if getattr(context, "_tidemark_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
