@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.cache.store import Store
-from tidemark.plans.dialect import to_spark
+from tidemark.plans.dialect import Unsupported, to_spark
 from tidemark.reason import analysis
+from tidemark.reason.parse import parse
 from tidemark.reason.ranges import Range
 from tidemark.reason.spec import Spec, Sub, Table
 
@@ -100,6 +101,18 @@ class Engine:
         finally:
             self.metrics.latency.append(time.monotonic() - began)
 
+    def sql(self, text: str, params: list | None = None) -> DataFrame:
+        """The result of a SELECT in PostgreSQL's spelling; what a spec can't hold runs on the base tables."""
+        try:
+            spec = parse(text, params)
+        except Unsupported:
+            self.metrics.bypassed += 1
+            for name, frame in self.base.items():
+                frame.createOrReplaceTempView(name)
+            args = {f"p{i}": v for i, v in enumerate(params or [], 1)}
+            return self.spark.sql(to_spark(text), args=args) if args else self.spark.sql(to_spark(text))
+        return self.query(spec)
+
     def _query(self, spec: Spec) -> DataFrame:
         if not self.connected or not self._allowed(spec) or analysis.uncacheable(spec):
             self.metrics.bypassed += 1
@@ -186,8 +199,7 @@ class Engine:
         """
         parts: dict[str, list[DataFrame]] = {}
         for branch in spec.branches():
-            labels = {t.label for t in branch.tables()}
-            own = tuple(c for c in branch.where if not self._outer(c, labels))
+            own = tuple(c for c in branch.where if not self._outer(c, branch))
             kept = branch if branch.table is spec.table and len(own) == len(branch.where) else replace(branch, where=own)
             for t in branch.tables():
                 text = f"SELECT DISTINCT {t.label}.* FROM {kept.source()}{kept.filter()}"
@@ -208,12 +220,14 @@ class Engine:
             rows[name], paths[name] = self.store.put(frame)
         return rows, paths
 
-    def _outer(self, condition, labels: set[str]) -> bool:
-        """Whether a condition names a column of a table outside the branch; correlated columns are qualified."""
+    def _outer(self, condition, branch: Spec) -> bool:
+        """Whether a condition names a column of a table outside the branch."""
         if isinstance(condition, Sub):
             return False
-        named = {c.partition(".")[0] for c in (getattr(condition, a, "") for a in ("column", "left", "right")) if "." in c}
-        return bool(named - labels)
+        labels = {t.label for t in branch.tables()}
+        known = {c for t in branch.tables() for c in self.base[t.name].columns}
+        named = [c for c in (getattr(condition, a, "") or "" for a in ("column", "left", "right")) if c]
+        return any(c.partition(".")[0] not in labels if "." in c else c not in known for c in named)
 
     def _covering(self, spec: Spec) -> dict[str, Entry] | None:
         """For each table a ready, unlimited one-table query that holds all rows wanted of it."""
