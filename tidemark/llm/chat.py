@@ -114,8 +114,9 @@ def format_chats(conversations: DataFrame, schemas: Schemas | None = None) -> Da
     ``level`` is the highest level of a message's calls, null without any.
     Messages stay rows, to be read in the order of conv_id and turn; null keys,
     repeated turns and empty texts are kept as they are, a null role is written
-    as null. JSON that can't be read is plain content. An empty table gives an
-    empty result.
+    as null. Messages that share conv_id and turn share their calls; a message
+    without one of the two is plain content. So is JSON that can't be read. An
+    empty table gives an empty result.
     """
     tables = Tables(conversations.sparkSession)
     messages = read_messages(conversations)
