@@ -6,7 +6,8 @@ each run while a count per character is kept: a step adds the entering one,
 takes off the leaving one and corrects the sum of c*log2(c), from which the
 window's Shannon entropy follows. A run whose windows reach its class's limit
 is a secret from the first such window to the last, unless the allow-list knows
-the run or a base span already covers it.
+the run or a base span already covers it. A placeholder word is no reason to pass
+over a run: only the windows that touch it don't count.
 
 Offsets are code points, the end exclusive. Matches of a pattern are located
 by the lengths of what lies between them, so every text is scanned whole.
@@ -40,7 +41,8 @@ CLASSES = (
     ("mixed", "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*$", 3.7),
     ("alphanumeric", "^(?=.*[A-Za-z])(?=.*[0-9]).*$", 3.4),
 )
-#: Runs that are no secrets: UUIDs, dates and versions, dotted or slashed words, placeholders.
+#: Runs that are no secrets: UUIDs, dates and versions, dotted or slashed words. A pattern without ^ is one of
+#: placeholders, and speaks only of where it stands.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[0-9._/=+-]+$",
@@ -57,6 +59,17 @@ class Entropy:
     classes: tuple[tuple[str, str, float], ...] = CLASSES
     allowed: tuple[str, ...] = ALLOWED
 
+    @property
+    def whole(self) -> tuple[str, ...]:
+        """The patterns that excuse a whole run."""
+        return tuple(p for p in self.allowed if p.startswith("^"))
+
+    @property
+    def placeholder(self) -> str | None:
+        """A placeholder with its part between separators, as far as a window to either side."""
+        words = "|".join(p for p in self.allowed if not p.startswith("^"))
+        return f"[A-Za-z0-9]{{0,{self.window}}}(?:{words})[A-Za-z0-9]{{0,{self.window}}}" if words else None
+
 
 def _scan(values: Column, start: Column) -> Column:
     """Sums of the values before each, from ``start``."""
@@ -94,8 +107,18 @@ def _kind(matches: Column, kind: str) -> Column:
 
 
 def _symbol(c: Column) -> Column:
-    """A character's number in the alphabet, from 0."""
-    return F.call_function("locate", c, F.lit(ALPHABET)) - 1
+    """A character's number in the alphabet, from 0; a blank has the next one."""
+    return F.call_function("locate", c, F.lit(ALPHABET + " ")) - 1
+
+
+def _blanked(run: Column, rule: Entropy) -> Column:
+    """The run with blanks for its placeholders."""
+    if not rule.placeholder:
+        return run
+    between, found = F.split(run, rule.placeholder, -1), F.regexp_extract_all(run, F.lit(rule.placeholder), F.lit(0))
+    blanks = F.transform(found, lambda x: F.call_function("repeat", F.lit(" "), F.length(x)))
+    joined = F.array_join(F.zip_with(between, blanks, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(run.rlike(rule.placeholder), joined).otherwise(run)
 
 
 def _windows(run: Column, rule: Entropy) -> Column:
@@ -103,8 +126,8 @@ def _windows(run: Column, rule: Entropy) -> Column:
     width, none = rule.window, F.lit(None).cast("int")
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     limit = F.coalesce(*[F.when(run.rlike(pattern), F.lit(bits)) for _, pattern, bits in rule.classes])
-    symbols = F.transform(F.split(run, ""), _symbol)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("count"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"), F.lit(0).alias("at"), symbols.alias("run"), limit.alias("limit"))
+    symbols = F.transform(F.split(_blanked(run, rule), ""), _symbol)
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("count"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"), F.lit(0).alias("at"), F.lit(0).alias("clear"), symbols.alias("run"), limit.alias("limit"))
 
     def step(acc: Column, entering: Column) -> Column:
         full = acc["at"] >= width
@@ -114,13 +137,15 @@ def _windows(run: Column, rule: Entropy) -> Column:
         gone = F.get(acc["count"], leaving) + F.when(leaving == entering, 1).otherwise(0)
         less = F.when(full, F.get(table, gone) - F.get(table, gone - 1)).otherwise(0.0)
         total = acc["sum"] + more - less
-        dense = (acc["at"] >= width - 1) & (F.lit(math.log2(width)) - total / width >= acc["limit"] - 1e-9)
+        clear = F.when(entering == len(ALPHABET), 0).otherwise(acc["clear"] + 1)
+        dense = (clear >= width) & (F.lit(math.log2(width)) - total / width >= acc["limit"] - 1e-9)
         return F.struct(
             F.transform(acc["count"], lambda x, j: x + F.when(j == entering, 1).otherwise(0) - F.when(j == leaving, 1).otherwise(0)).alias("count"),
             total.alias("sum"),
             F.when(dense & acc["first"].isNull(), acc["at"] - (width - 1)).otherwise(acc["first"]).alias("first"),
             F.when(dense, acc["at"] + 1).otherwise(acc["last"]).alias("last"),
             (acc["at"] + 1).alias("at"),
+            clear.alias("clear"),
             acc["run"].alias("run"),
             acc["limit"].alias("limit"),
         )
@@ -129,7 +154,7 @@ def _windows(run: Column, rule: Entropy) -> Column:
 
 
 def _suspect(run: Column, rule: Entropy) -> Column:
-    known = F.coalesce(*[F.when(run.rlike(p), F.lit(True)) for p in rule.allowed], F.lit(False))
+    known = F.coalesce(*[F.when(run.rlike(p), F.lit(True)) for p in rule.whole], F.lit(False))
     classed = F.coalesce(*[F.when(run.rlike(p), F.lit(True)) for _, p, _ in rule.classes], F.lit(False))
     return classed & ~known
 
