@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Tables, attach, by_group, cut, width
 from tidemark.llm.components import components
@@ -241,8 +242,12 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Repeated rows share set and component. All columns but doc_id and text are
     ignored. An empty table gives an empty result.
     """
-    spark = documents.sparkSession
-    tables = Tables(spark)
+    found = _placed(documents, rule, Tables(documents.sparkSession))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _placed(documents: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """doc_id, n_shingles, node and component_id of every document, and keeper, the node that stays for the component."""
     rows = tables.put("rows", _sketched(documents, rule))
     linkable = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     best = F.min(F.struct("doc_id", "n_shingles", "bands", "odd")).alias("top")
@@ -261,19 +266,50 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     roots = components(linked)
     named = nodes.select("node", "copies", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = tables.put("named", named)
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    placed = attach(named.select("node", "copies", "root"), tables.put("smallest", smallest), "root", "_n").select("node", "copies", "component_id")
+    smallest = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("top"), F.count(F.lit(1)).alias("_n"))
+    smallest = smallest.select("root", F.col("top.doc_id").alias("component_id"), F.col("top.node").alias("keeper"), "_n")
+    placed = attach(named.select("node", "copies", "root"), tables.put("smallest", smallest), "root", "_n").select("node", "copies", "component_id", "keeper")
     found = attach(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), tables.put("placed", placed), "node", "copies")
     component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     tables.drop("near", "clusters", "nodes", "linked", "named", "smallest")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", "node", component.alias("component_id"), "keeper")
+
+
+def _with_node(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Add the node of ``_text``, null for a text without words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text.as_py(), rule.words) for text in batch.column("_text")]
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+
+    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("_node", T.BinaryType())]))
 
 
 def keep_one(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents without their near duplicates: of each group the one with the smallest doc_id stays, once.
 
-    Rows with a null doc_id are not linked and all stay.
+    Rows with a null doc_id are not linked and all stay. Rows that share a
+    doc_id but not a shingle set are judged one by one: of a group whose
+    smallest doc_id they share, the set of the lowest digest stays. Of rows
+    with the same doc_id and set, the first in the order of text and then of
+    the whole row as JSON stays.
     """
-    kept = near_duplicates(documents, rule).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    own = documents.join(kept, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return own.unionByName(documents.where("doc_id IS NULL"))
+    tables = Tables(documents.sparkSession)
+    own = F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("keeper")))
+    found = _placed(documents, rule, tables).where("doc_id IS NOT NULL").withColumn("own", own)
+    best = F.struct(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
+    ids = tables.put("ids", found.groupBy(F.col("doc_id").alias("_id")).agg(best.alias("_of")).select("_id", "_of.*").where("own"))
+    single = ids.where("n = 1").select("_id")
+    key = F.col("doc_id").cast("bigint")
+    kept = documents.join(single, key == F.col("_id"), "left_semi").unionByName(documents.where("doc_id IS NULL"))
+    several = ids.where("n > 1").select("_id")
+    if several.isEmpty():
+        return kept
+    rows = documents.join(several, key == F.col("_id"), "left_semi")
+    rows = _with_node(rows.select(key.alias("_id"), F.col("text").cast("string").alias("_text"), F.struct("*").alias("_row")), rule)
+    pairs = found.where("own").join(several, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_set")).distinct()
+    rows = rows.join(pairs, (F.col("_id") == F.col("_doc")) & F.col("_node").eqNullSafe(F.col("_set")), "left_semi")
+    rows = rows.groupBy("_id", "_node").agg(F.min_by("_row", F.struct("_text", F.to_json("_row"))).alias("_row"))
+    return kept.unionByName(rows.select("_row.*"))
