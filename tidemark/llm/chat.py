@@ -52,7 +52,10 @@ def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def read_messages(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and what the text's JSON holds: calls and answered."""
+    """conv_id, turn, role, text and what the text's JSON holds: calls and answered; ``_row`` tells the rows apart.
+
+    A message without conv_id or turn makes no calls.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     body = F.when(F.ltrim(text).startswith("{"), text)
     calls = F.from_json(F.get_json_object(body, "$.tool_calls"), "array<struct<id:string,name:string,arguments:string>>")
@@ -61,27 +64,29 @@ def read_messages(conversations: DataFrame) -> DataFrame:
         F.col("turn").cast("bigint").alias("turn"),
         F.col("role").cast("string").alias("role"),
         text.alias("text"),
-        F.when(F.col("role") == "assistant", calls).alias("calls"),
+        F.when((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), calls).alias("calls"),
         F.when(F.col("role") == "tool", F.get_json_object(body, "$.tool_call_id")).alias("answered"),
+        F.monotonically_increasing_id().alias("_row"),
     )
 
 
 def link_calls(messages: DataFrame, schemas: Schemas, tables: Tables) -> DataFrame:
-    """One row per call: where it is made and answered, its level, and whether its arguments are valid.
+    """One row per call: the message row that makes it, where it is answered, its level, and whether its arguments are valid.
 
     A call without an id, or that repeats an earlier one's, is linked to
-    nothing; of several results the earliest after the call counts. Calls on a
+    nothing, while calls of one id at the same turn and place, as repeated rows
+    have them, are linked alike; of several results the earliest after the call counts. Calls on a
     cycle, or behind one, have no level.
     """
-    made = messages.where("calls IS NOT NULL").select("conv_id", "turn", F.posexplode("calls").alias("index", "call"))
-    made = made.select("conv_id", "turn", "index", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.coalesce("call.arguments", F.lit("{}")).alias("arguments"))
+    made = messages.where("calls IS NOT NULL").select("_row", "conv_id", "turn", F.posexplode("calls").alias("index", "call"))
+    made = made.select("_row", "conv_id", "turn", "index", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.coalesce("call.arguments", F.lit("{}")).alias("arguments"))
     made = tables.put("made", made)
     first = made.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "index")).alias("first"))
     first = tables.put("first", first)
     answers = messages.where("answered IS NOT NULL").select("conv_id", F.col("answered").alias("call_id"), F.col("turn").alias("at"))
     answered = first.join(answers, ["conv_id", "call_id"]).where("at > first.turn").groupBy("conv_id", "call_id").agg(F.min("at").alias("answered_at"))
     named = F.regexp_extract_all("arguments", F.lit('"\\$([^"]+)"'), F.lit(1))
-    needs = made.join(first, ["conv_id", "call_id"]).where("turn = first.turn AND index = first.index").select("conv_id", "call_id", F.explode(F.array_distinct(named)).alias("needed"))
+    needs = made.join(first, ["conv_id", "call_id"]).where("turn = first.turn AND index = first.index").select("conv_id", "call_id", F.explode(F.array_distinct(named)).alias("needed")).distinct()
     needs = tables.put("needs", needs.join(first.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"]))
     waiting = needs.select("conv_id", "call_id").distinct()
     levels = tables.put("levels", first.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
@@ -100,7 +105,7 @@ def link_calls(messages: DataFrame, schemas: Schemas, tables: Tables) -> DataFra
     linked = made.join(ordered, key, "left")
     is_first = F.coalesce((F.col("turn") == F.col("first.turn")) & (F.col("index") == F.col("first.index")), F.lit(False))
     return linked.select(
-        "conv_id", "turn", "index", "call_id", "name",
+        "_row", "index", "call_id", "name",
         F.coalesce(canonical(F.col("arguments")), F.lit("{}")).alias("arguments"),
         F.when(is_first, F.col("answered_at")).alias("answered_at"),
         F.when(is_first, F.col("level")).alias("level"),
@@ -114,22 +119,22 @@ def format_chats(conversations: DataFrame, schemas: Schemas | None = None) -> Da
     ``level`` is the highest level of a message's calls, null without any.
     Messages stay rows, to be read in the order of conv_id and turn; null keys,
     repeated turns and empty texts are kept as they are, a null role is written
-    as null. Messages that share conv_id and turn share their calls; a message
+    as null. Messages that share conv_id and turn have their own calls each; a message
     without one of the two is plain content. So is JSON that can't be read. An
     empty table gives an empty result.
     """
     tables = Tables(conversations.sparkSession)
-    messages = read_messages(conversations)
+    messages = tables.put("messages", read_messages(conversations))
     calls = tables.put("calls", link_calls(messages, schemas or {}, tables))
     written = F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "level", "name", (F.col("answered_at").isNotNull()).alias("linked"), "valid"))
-    grouped = calls.groupBy("conv_id", "turn").agg(
+    grouped = calls.groupBy("_row").agg(
         F.count(F.lit(1)).alias("n_calls"),
         F.count("answered_at").alias("n_linked"),
         F.sum((~F.col("valid")).cast("int")).alias("n_invalid"),
         F.max("level").alias("level"),
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("level", F.lit(2**31 - 1)), "index", written.alias("json")))), lambda s: s["json"])).alias("_calls"),
     )
-    joined = messages.drop("calls").join(grouped, ["conv_id", "turn"], "left")
+    joined = messages.drop("calls").join(grouped, "_row", "left")
     quoted = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))), F.lit('{"v":null}'))
     value = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(quoted(c), r'^\{"v":|\}$', ""))
     content = F.when(F.col("_calls").isNotNull(), value(F.get_json_object("text", "$.content"))).when(F.col("answered").isNotNull(), value(F.coalesce(F.get_json_object("text", "$.content"), F.lit("")))).otherwise(value(F.col("text")))
