@@ -106,7 +106,7 @@ def link_calls(messages: DataFrame, schemas: Schemas, tables: Tables) -> DataFra
     is_first = F.coalesce((F.col("turn") == F.col("first.turn")) & (F.col("index") == F.col("first.index")), F.lit(False))
     return linked.select(
         "_row", "index", "call_id", "name",
-        F.coalesce(canonical(F.col("arguments")), F.lit("{}")).alias("arguments"),
+        F.coalesce(canonical(F.col("arguments")), F.col("arguments")).alias("arguments"),
         F.when(is_first, F.col("answered_at")).alias("answered_at"),
         F.when(is_first, F.col("level")).alias("level"),
         valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"),
@@ -120,7 +120,10 @@ def format_chats(conversations: DataFrame, schemas: Schemas | None = None) -> Da
     Messages stay rows, to be read in the order of conv_id and turn; null keys,
     repeated turns and empty texts are kept as they are, a null role is written
     as null. Messages that share conv_id and turn have their own calls each; a message
-    without one of the two is plain content. So is JSON that can't be read. An
+    without one of the two is plain content. So is JSON that can't be read.
+    Arguments that aren't JSON are written as they are, as a string, and are
+    invalid. Other fields of a message that makes or answers calls are carried
+    over in canonical form, but for ``role``, which the table's column gives. An
     empty table gives an empty result.
     """
     tables = Tables(conversations.sparkSession)
@@ -138,11 +141,18 @@ def format_chats(conversations: DataFrame, schemas: Schemas | None = None) -> Da
     quoted = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))), F.lit('{"v":null}'))
     value = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(quoted(c), r'^\{"v":|\}$', ""))
     content = F.when(F.col("_calls").isNotNull(), value(F.get_json_object("text", "$.content"))).when(F.col("answered").isNotNull(), value(F.coalesce(F.get_json_object("text", "$.content"), F.lit("")))).otherwise(value(F.col("text")))
-    parts = F.concat(
-        F.lit('{"content":'), content, F.lit(',"role":'), value(F.col("role")),
-        F.when(F.col("answered").isNotNull(), F.concat(F.lit(',"tool_call_id":'), value(F.col("answered")))).otherwise(""),
-        F.when(F.col("_calls").isNotNull(), F.concat(F.lit(',"tool_calls":['), F.col("_calls"), F.lit("]"))).otherwise(""),
-        F.lit("}"),
+    field = lambda name, json: F.struct(F.lit(name).alias("key"), json.alias("json"))
+    written = F.array(
+        field("content", content), field("role", value(F.col("role"))),
+        F.when(F.col("answered").isNotNull(), field("tool_call_id", value(F.col("answered")))),
+        F.when(F.col("_calls").isNotNull(), field("tool_calls", F.concat(F.lit("["), F.col("_calls"), F.lit("]")))),
     )
+    written = F.filter(written, lambda f: f.isNotNull())
+    body = F.when(F.col("_calls").isNotNull() | F.col("answered").isNotNull(), F.from_json("text", "map<string,variant>"))
+    others = F.transform(F.map_entries(body), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("json")))
+    others = F.filter(others, lambda o: ~F.exists(written, lambda f: f["key"] == o["key"]))
+    fields = F.array_sort(F.concat(written, F.coalesce(others, F.array().cast("array<struct<key:string,json:string>>"))))
+    pairs = F.transform(fields, lambda f: F.concat(F.regexp_replace(F.to_json(F.struct(f["key"].alias("v"))), r'^\{"v":|\}$', ""), F.lit(":"), f["json"]))
+    parts = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return joined.select("conv_id", "turn", "role", zero("n_calls"), zero("n_linked"), zero("n_invalid"), F.col("level").cast("int").alias("level"), parts.alias("message"))
