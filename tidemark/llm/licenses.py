@@ -1,6 +1,6 @@
 """License scan: a trained paragraph classifier whose finds a template must confirm.
 
-Paragraphs are lines, and sentences of lines, with a word. A sparse logistic regression over hashed words
+Paragraphs are lines up to a blank one, joined, and beside them single lines and sentences. A sparse logistic regression over hashed words
 and word pairs tells licence families and an unknown class apart. It is trained
 here, on notices written from the templates below and on a bounded sample of the
 corpus's own paragraphs as the unknown class; soft thresholding keeps its weights
@@ -100,9 +100,35 @@ class Training:
     chance: float = 0.8
 
 
+#: What separates the lines and sentences of a text.
+PIECE = r"\n|(?<=[.!?])\x20+(?=[A-Z])"
+#: White space and the marks of comments, which stand at the starts of lines and alone on blank ones.
+_MARKS = r"[\x20\t\x0B\f\r#*/;%!-]*"
+#: Words of a joined text that are classified at once, and how many of them the next ones repeat; notices are shorter than that.
+SPAN, OVERLAP = 256, 64
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, paragraph (its number from 0) and text of every line, and of every sentence of one, that has a word."""
-    pieces = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\n|(?<=[.!?])\x20+(?=[A-Z])", -1)
+    """doc_id, paragraph (its number from 0) and text of every paragraph that has a word.
+
+    First come the lines and the sentences of lines. Then come, of the lines up
+    to a blank one, without comment marks and joined by spaces: the sentences
+    that go over the end of a line, and the whole, where it is more than one
+    line or sentence. A whole of more than ``SPAN`` words is given as spans
+    that overlap, so that it can't hold a notice by its mere length.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = lambda b: F.regexp_replace(b, rf"[\x20\t\x0B\f\r]*\n{_MARKS}", " ")
+    blocks = F.filter(F.split(text, rf"\n(?:{_MARKS}\n)+", -1), lambda b: b.rlike(PIECE))
+    sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, r"(?<=[.!?])[\x20\t\r\n#*/;%!-]+(?=[A-Z])", -1)))
+    wrapped = F.transform(F.filter(sentences, lambda x: F.btrim(x, F.lit(SPACES)).contains("\n")), joined)
+
+    def spans(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - OVERLAP, F.lit(1)), F.lit(SPAN - OVERLAP))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, SPAN), " "))
+
+    whole = F.flatten(F.transform(blocks, lambda b: spans(F.split(joined(b), " +", -1))))
+    pieces = F.concat(F.split(text, PIECE, -1), wrapped, whole)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(pieces).alias("paragraph", "text"))
     return rows.withColumn("text", F.btrim("text", F.lit(SPACES))).where("text <> ''")
 
@@ -172,7 +198,8 @@ def scan(documents: DataFrame, model: Model, training: Training = Training()) ->
     """One row per licence paragraph: doc_id, paragraph, family, chance, similarity, confirmed.
 
     Every paragraph of every text is classified; those of the unknown class
-    have no row. ``similarity`` is the largest share of a family template's
+    have no row. A notice can have a row for its line and one for what it is
+    joined into. ``similarity`` is the largest share of a family template's
     distinct buckets that the paragraph holds. Null and empty texts have no
     paragraphs; repeated rows give repeated results. No row is moved.
     """
