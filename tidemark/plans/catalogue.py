@@ -162,7 +162,7 @@ def _relational(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def params_bind(spark: SparkSession, base: str) -> DataFrame:
-    return run_sql(spark, base, "SELECT p_partkey FROM part WHERE p_size = $1 AND p_brand <> $2 LIMIT $3", [7, "Brand#11", 100000])
+    return run_sql(spark, base, "SELECT p_partkey FROM part WHERE p_size = $1 AND p_brand <> $2", [7, "Brand#11"])
 
 
 def expr_arith_intdiv(spark: SparkSession, base: str) -> DataFrame:
