@@ -149,16 +149,45 @@ def _variants(text: str) -> list[str]:
     return [text, bare, f"Copyright 2021 the authors. {text}", f"{bare} by the authors", f"Note: {text} See the file for details."]
 
 
+def held_share(notices: list[list[int]]) -> Column:
+    """The largest share of a notice's distinct buckets that ``_grams`` holds."""
+    return F.greatest(*[F.size(F.array_intersect("_grams", F.array(*[F.lit(g) for g in notice]))) / len(notice) for notice in notices], F.lit(0.0))
+
+
+def unlike(rows: DataFrame, templates: dict[str, list[list[int]]], training: Training) -> DataFrame:
+    """The ``training.sample`` distinct texts of the lowest hashes that hold no template's share.
+
+    Only hashes are told apart over the whole corpus, and texts only up to the
+    last hash that is needed. Whether a text holds a template is asked of twice
+    as many texts as are needed, and of more where too few of them remain.
+    """
+    hashed = rows.select("text", F.xxhash64("text").alias("_hash"))
+    asked = 2 * training.sample
+    while True:
+        hashes = [r[0] for r in hashed.select("_hash").distinct().orderBy("_hash").limit(asked).collect()]
+        lowest = hashed.where(F.col("_hash") <= (hashes[-1] if hashes else 0)).distinct()
+        share = F.greatest(*[held_share(notices) for notices in templates.values()], F.lit(0.0))
+        left = with_features(lowest, training.buckets).where(share < training.share).orderBy("_hash", "text").limit(training.sample).select("text").collect()
+        if len(left) == training.sample or len(hashes) < asked:
+            return rows.sparkSession.createDataFrame([(r["text"],) for r in left], "text string")
+        asked *= 4
+
+
 def train(spark: SparkSession, documents: DataFrame, training: Training = Training()) -> Model:
     """Fit the classifier on the buckets that notices have.
 
-    The sample is the paragraphs of the lowest hashes that don't speak of licences.
+    The sample is the distinct paragraphs of the lowest hashes that no template
+    confirms. One that speaks of licences without being one is among them.
     """
     known = [(kind, variant) for kind, notices in TEMPLATES.items() for notice in notices for variant in _variants(notice)]
     known += [(UNKNOWN, text) for text in NEAR_MISSES]
     labelled = spark.createDataFrame(known, "kind string, text string")
-    plain = paragraphs(documents).where(~F.lower("text").rlike("licen[cs]e|copyright|permission|redistribut"))
-    sample = plain.select(F.lit(UNKNOWN).alias("kind"), "text").orderBy(F.xxhash64("text"), "text").limit(training.sample)
+    noticed = spark.createDataFrame([(k, t) for k, ts in TEMPLATES.items() for t in ts], "kind string, text string")
+    notices = with_features(noticed, training.buckets).select("kind", F.col("_grams").alias("grams")).collect()
+    templates: dict[str, list[list[int]]] = {}
+    for row in notices:
+        templates.setdefault(row["kind"], []).append(sorted(set(row["grams"])))
+    sample = unlike(paragraphs(documents), templates, training).select(F.lit(UNKNOWN).alias("kind"), "text")
     rows = with_features(labelled.unionByName(sample), training.buckets).select("kind", F.col("_grams").alias("grams")).collect()
     classes = (*TEMPLATES, UNKNOWN)
     seen = np.array(sorted({g for row in rows if row["kind"] != UNKNOWN for g in row["grams"]}))
@@ -184,11 +213,6 @@ def train(spark: SparkSession, documents: DataFrame, training: Training = Traini
     heats = np.linspace(0.25, 4, 40)
     losses = [-np.mean(np.log(np.maximum(1e-12, (e := np.exp((z - z.max(axis=1, keepdims=True)) * h))[np.arange(len(z)), y[held]] / e.sum(axis=1)))) if len(z) else 0.0 for h in heats]
     heat = float(heats[int(np.argmin(losses))]) if len(z) else 1.0
-    noticed = spark.createDataFrame([(k, t) for k, ts in TEMPLATES.items() for t in ts], "kind string, text string")
-    notices = with_features(noticed, training.buckets).select("kind", F.col("_grams").alias("grams")).collect()
-    templates: dict[str, list[list[int]]] = {}
-    for row in notices:
-        templates.setdefault(row["kind"], []).append(sorted(set(row["grams"])))
     weights = np.zeros((training.buckets, len(classes)), np.int64)
     weights[seen] = np.rint(w * heat * ngrams.SCALE).astype(np.int64)
     return Model(classes, weights, np.rint(b * heat * ngrams.SCALE).astype(np.int64), templates)
@@ -214,8 +238,7 @@ def scan(documents: DataFrame, model: Model, training: Training = Training()) ->
     rows = rows.withColumn("chance", F.round(F.lit(1.0) / total, 6)).withColumn("family", F.get(F.array(*[F.lit(c) for c in model.classes]), F.col("_class") - 1))
     shares = F.lit(0.0)
     for family, notices in model.templates.items():
-        held = [F.size(F.array_intersect("_grams", F.array(*[F.lit(g) for g in notice]))) / len(notice) for notice in notices]
-        shares = F.when(F.col("family") == family, F.greatest(*held, F.lit(0.0))).otherwise(shares)
+        shares = F.when(F.col("family") == family, held_share(notices)).otherwise(shares)
     rows = rows.withColumn("similarity", F.round(shares, 6))
     return rows.select("doc_id", "paragraph", "family", "chance", "similarity", ((F.col("chance") >= training.chance) & (F.col("similarity") >= training.share)).alias("confirmed"))
 
