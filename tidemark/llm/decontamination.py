@@ -116,8 +116,9 @@ def item_blocks(benchmark: DataFrame, size: int, limit: int) -> Iterator[list[tu
 def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Hit words, items and original spans of every document.
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items
-    and spans (code points, end exclusive). A null text has no words and is not
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
+    spans (code points, end exclusive) and longest, the number of words of the
+    longest run of hit words. A null text has no words and is not
     contaminated; null or empty items have no window; an item without an id is
     named by the empty string; items that share an id count once. No row is
     moved: the scan needs no shuffle.
@@ -126,9 +127,18 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = W
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with their own columns; nothing is joined or moved."""
+    """The documents that repeat nothing of the benchmark, with their own columns; nothing is joined or moved.
+
+    A document goes if it holds ``size`` benchmark words in a row, however long
+    it is, or if it is contaminated by its share of hit words. Items of fewer
+    words may stand in a long text by chance; they count by their share alone.
+    Null and empty texts stay, as do rows without a doc_id that are clean;
+    repeated rows are judged alike. Extra columns are carried along whatever
+    their names, and an empty table gives an empty result.
+    """
     own = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_own")
-    return _scanned(documents, benchmark, size, block_bytes, [own]).where("NOT contaminated").select("_own.*")
+    clean = ~F.col("contaminated") & (F.col("longest") < size)
+    return _scanned(documents, benchmark, size, block_bytes, [own]).where(clean).select("_own.*")
 
 
 def _scanned(documents: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, carried: list) -> DataFrame:
@@ -167,8 +177,10 @@ def _pass(state: DataFrame, block: list[tuple[str, str | None]], size: int, last
                     continue
                 n_hit, named = int(hit.sum()), sorted(items)
                 digest = hashlib.sha256(",".join(named).encode("utf-8")).hexdigest()
-                spans = [{"start": a, "end": b} for a, b in spans_of(text or "", runs(hit))]
-                out.append((doc_id, len(words), n_hit, len(named), digest, n_hit > 0 and 20 * n_hit >= len(words), named, spans))
+                found = runs(hit)
+                spans = [{"start": a, "end": b} for a, b in spans_of(text or "", found)]
+                longest = max((b - a for a, b in found), default=0)
+                out.append((doc_id, len(words), n_hit, len(named), digest, n_hit > 0 and 20 * n_hit >= len(words), named, spans, longest))
             schema = RESULT if last else STATE
             columns = list(zip(*out, strict=True)) or [[]] * len(schema)
             made = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
@@ -182,6 +194,6 @@ STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("_runs", pa.l
 STATE_DDL = "doc_id bigint, text string, _runs array<bigint>, _items array<string>"
 RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-    + [("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    + [("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("longest", pa.int64())]
 )
-RESULT_DDL = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:bigint,end:bigint>>"
+RESULT_DDL = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:bigint,end:bigint>>, longest bigint"
