@@ -16,6 +16,7 @@ by the lengths of what lies between them, so every text is scanned whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-
 CANDIDATE = rf"[A-Za-z0-9+/_=.-]{{{WINDOW},}}"
 #: The first class whose pattern fits the whole run decides its limit, in bits per character of a window.
 CLASSES = (
-    ("hex", "^[0-9a-fA-F]*[0-9][0-9a-fA-F]*$", 3.0),
+    ("hex", "^[a-fA-F]*[0-9][0-9a-fA-F]*$", 3.0),
     ("mixed", "^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).*$", 3.7),
     ("alphanumeric", "^(?=.*[A-Za-z])(?=.*[0-9]).*$", 3.4),
 )
@@ -61,8 +62,12 @@ class Entropy:
 
     @property
     def whole(self) -> tuple[str, ...]:
-        """The patterns that excuse a whole run."""
-        return tuple(p for p in self.allowed if p.startswith("^"))
+        """The patterns that excuse a whole run.
+
+        Java repeats a group by recursion, which a run of many parts exhausts,
+        unless it need not go back; the groups of these patterns never need to.
+        """
+        return tuple(p.replace(")*", ")*+") for p in self.allowed if p.startswith("^"))
 
     @property
     def placeholder(self) -> str | None:
@@ -121,36 +126,55 @@ def _blanked(run: Column, rule: Entropy) -> Column:
     return F.when(run.rlike(rule.placeholder), joined).otherwise(run)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _windows(run: Column, rule: Entropy) -> Column:
-    """First start and last end, within a run, of its windows at or over its class's limit (nulls without one)."""
+    """First start and last end, within a run, of its windows at or over its class's limit (nulls without one).
+
+    The counts of the characters lie side by side in a few long numbers, so a
+    step changes two of them, by adding and taking off a one at their places.
+    """
     width, none = rule.window, F.lit(None).cast("int")
-    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
+    wide = (width + 1).bit_length()
+    each = 62 // wide
+    steps = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(width + 1)])
+    places = F.array(*[F.struct(F.lit(c // each).alias("word"), F.lit(c % each * wide).alias("shift"), F.lit(1 << c % each * wide).cast("bigint").alias("one"), F.lit(c == len(ALPHABET)).alias("blank")) for c in range(len(ALPHABET) + 1)])
     limit = F.coalesce(*[F.when(run.rlike(pattern), F.lit(bits)) for _, pattern, bits in rule.classes])
-    symbols = F.transform(F.split(_blanked(run, rule), ""), _symbol)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("count"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"), F.lit(0).alias("at"), F.lit(0).alias("clear"), symbols.alias("run"), limit.alias("limit"))
-
-    def step(acc: Column, entering: Column) -> Column:
-        full = acc["at"] >= width
-        leaving = F.when(full, F.get(acc["run"], acc["at"] - width)).otherwise(-1)
-        had = F.get(acc["count"], entering)
-        more = F.get(table, had + 1) - F.get(table, had)
-        gone = F.get(acc["count"], leaving) + F.when(leaving == entering, 1).otherwise(0)
-        less = F.when(full, F.get(table, gone) - F.get(table, gone - 1)).otherwise(0.0)
-        total = acc["sum"] + more - less
-        clear = F.when(entering == len(ALPHABET), 0).otherwise(acc["clear"] + 1)
-        dense = (clear >= width) & (F.lit(math.log2(width)) - total / width >= acc["limit"] - 1e-9)
+    symbols = F.transform(F.split(_blanked(run, rule), ""), lambda c: F.get(places, _symbol(c)))
+    counts = F.array_repeat(F.lit(0).cast("bigint"), -(-(len(ALPHABET) + 1) // each))
+    left = lambda line: F.slice(F.concat(F.array_repeat(F.lit(None), width), line), F.lit(1), F.size(line))
+    pairs = lambda line: F.zip_with(line, left(line), lambda entering, leaving: F.struct(entering.alias("entering"), leaving.alias("leaving")))
+    zero = F.struct(counts.alias("count"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"), F.lit(0).alias("at"), F.lit(0).alias("clear"), limit.alias("limit"))
+    count = lambda counts, c: F.call_function("shiftright", F.get(counts, c["word"]), c["shift"]).bitwiseAND(F.lit((1 << wide) - 1).cast("bigint")).cast("int")
+    changed = lambda counts, c, one: F.transform(counts, lambda x, j: F.when(j == c["word"], x + one).otherwise(x))
+
+    def step(acc: Column, pair: Column) -> Column:
+        entering, leaving = pair["entering"], pair["leaving"]
+        more = acc["sum"] + F.get(steps, count(acc["count"], entering))
+        added = F.struct(changed(acc["count"], entering, entering["one"]).alias("count"), more.alias("sum"))
+        return _let(F.when(leaving.isNotNull(), _let(added, lambda x: taken(x, leaving))).otherwise(added), lambda x: judged(acc, entering, x))
+
+    def taken(x: Column, leaving: Column) -> Column:
+        less = x["sum"] - F.get(steps, count(x["count"], leaving) - 1)
+        return F.struct(changed(x["count"], leaving, -leaving["one"]).alias("count"), less.alias("sum"))
+
+    def judged(acc: Column, entering: Column, x: Column) -> Column:
+        clear = F.when(entering["blank"], 0).otherwise(acc["clear"] + 1)
+        dense = (clear >= width) & (F.lit(math.log2(width)) - x["sum"] / width >= acc["limit"] - 1e-9)
         return F.struct(
-            F.transform(acc["count"], lambda x, j: x + F.when(j == entering, 1).otherwise(0) - F.when(j == leaving, 1).otherwise(0)).alias("count"),
-            total.alias("sum"),
-            F.when(dense & acc["first"].isNull(), acc["at"] - (width - 1)).otherwise(acc["first"]).alias("first"),
+            x["count"].alias("count"),
+            x["sum"].alias("sum"),
+            F.when(acc["first"].isNull() & dense, acc["at"] - (width - 1)).otherwise(acc["first"]).alias("first"),
             F.when(dense, acc["at"] + 1).otherwise(acc["last"]).alias("last"),
             (acc["at"] + 1).alias("at"),
             clear.alias("clear"),
-            acc["run"].alias("run"),
             acc["limit"].alias("limit"),
         )
 
-    return F.aggregate(symbols, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return _let(symbols, lambda line: F.aggregate(pairs(line), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
 
 def _suspect(run: Column, rule: Entropy) -> Column:
