@@ -7,9 +7,12 @@ of its own in the shared folder.
 
 Reading: each task reads whole archives back, record by record by their stated
 lengths, checks the digest of each payload it finds, and emits its captures as
-runs sorted by URL key, timestamp and id. The runs are dealt by key range, and
-each range is merged from its slices of the runs by a loser tree, so the ranges
-in turn form one globally ordered capture history.
+runs sorted by URL key, timestamp and id, cut into blocks that each bear their
+first key. The runs are dealt by key range, and each range reads its blocks in
+the order of their first keys: what lies below the next block's first key can be
+merged and given out before that block is read, so a merge holds at most one
+block of each run beside what it is about to give out. Slices of the runs meet
+in a loser tree, and the ranges in turn form one globally ordered history.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import attach, cut, shared_dir, width
@@ -33,6 +36,8 @@ from tidemark.llm.common import attach, cut, shared_dir, width
 VERSION = b"WARC/1.1"
 #: Runs are cut at so many captures, which bounds what one sort holds.
 RUN_ROWS = 100_000
+#: A merge holds about so many captures: as much again as are left over, and blocks are so short that one of each run stays within it.
+MERGE_ROWS = 50_000
 #: A capture without a date is dated by its id, in seconds after this.
 EPOCH = "2024-01-01T00:00:00Z"
 
@@ -102,7 +107,7 @@ def read_records(stream) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 class LoserTree:
     """Merges sorted runs: each step replays one path from a leaf to the root."""
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list[Iterable[tuple]]):
         self.runs = [iter(r) for r in runs]
         self.k = max(len(runs), 1)
         self.heads: list[tuple | None] = [next(r, None) for r in self.runs] or [None]
@@ -136,9 +141,16 @@ class LoserTree:
             self._replay(self.winner)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: one without is on the default file system, which need not be a worker's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    named = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + named[5:] if named.startswith("file:/") and not named.startswith("file://") else named
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a folder that driver and executors share."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    return pafs.FileSystem.from_uri(uri)
 
 
 def deduplicated(pages: DataFrame, minimum: int = 0) -> DataFrame:
@@ -217,21 +229,36 @@ CAPTURE_SCHEMA = pa.schema(
 ORDER = ("url_key", "captured", "page_id", "archive", "position")
 
 
+LEAD = "lead struct<url_key:string,captured:string,page_id:bigint,archive:string,position:bigint>"
+LEAD_TYPE = pa.struct([(c, CAPTURE_SCHEMA.field(c).type) for c in ORDER])
+
+
 def _order_key(row: dict) -> tuple:
     return (row["url_key"], row["captured"], -(2**63) if row["page_id"] is None else row["page_id"], row["archive"], row["position"])
 
 
-def read_runs(archives: DataFrame, folder: str, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Captures of the archives as locally sorted runs: the capture columns, run and step."""
+def read_runs(archives: DataFrame, folder: str, run_rows: int = RUN_ROWS, merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """Captures of the archives as locally sorted runs: the capture columns, run, step and lead, the first key of the row's block.
+
+    Blocks are the shorter the more runs there will be; how many follows from
+    the archives' record counts.
+    """
+    records = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    block_rows = max(1, merge_rows // max(1, records // run_rows + archives.rdd.getNumPartitions()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _filesystem(folder)
         held: list[dict] = []
 
-        def run() -> pa.RecordBatch:
+        def run() -> Iterator[pa.RecordBatch]:
             held.sort(key=_order_key)
-            batch = pa.RecordBatch.from_pylist(held, schema=CAPTURE_SCHEMA)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array([uuid.uuid4().hex] * len(held)), pa.array(range(len(held)), pa.int64())], names=[*batch.schema.names, "run", "step"])
+            name = uuid.uuid4().hex
+            for at in range(0, len(held), 5000):
+                part = held[at : at + 5000]
+                leads = [held[i - i % block_rows] for i in range(at, at + len(part))]
+                batch = pa.RecordBatch.from_pylist(part, schema=CAPTURE_SCHEMA)
+                more = [pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array([{c: row[c] for c in ORDER} for row in leads], LEAD_TYPE)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "run", "step", "lead"])
 
         for batch in batches:
             for path in batch.column("path").to_pylist():
@@ -248,37 +275,59 @@ def read_runs(archives: DataFrame, folder: str, run_rows: int = RUN_ROWS) -> Dat
                             "captured": head["warc-date"], "archive": posixpath.basename(path), "position": position, "stored": stored,
                         })
                         if len(held) >= run_rows:
-                            yield run()
+                            yield from run()
                             held = []
         if held:
-            yield run()
+            yield from run()
 
-    return archives.mapInArrow(read, CAPTURE + ", run string, step bigint")
+    return archives.mapInArrow(read, f"{CAPTURE}, run string, step bigint, {LEAD}")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """One history out of the runs: rows in the order of ORDER, over partitions in turn."""
-    keys: list[Column] = [F.col(c).asc_nulls_first() for c in ORDER]
-    dealt = runs.repartitionByRange(max(width(runs.sparkSession), 1), *keys).sortWithinPartitions("run", "step")
+def _keys(rows: pa.Table | pa.RecordBatch | pa.StructArray) -> list[tuple]:
+    columns = [(rows.field(c) if isinstance(rows, pa.StructArray) else rows.column(c)).to_pylist() for c in ORDER]
+    return [(a, b, -(2**63) if c is None else c, d, e) for a, b, c, d, e in zip(*columns, strict=True)]
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
-        tables = []
-        n = 0
-        for batch in batches:
-            tables.append(batch)
-            columns = [batch.column(c).to_pylist() for c in ORDER]
-            for run, *key in zip(batch.column("run").to_pylist(), *columns, strict=True):
-                key[2] = -(2**63) if key[2] is None else key[2]
-                slices.setdefault(run, []).append((tuple(key), n))
-                n += 1
-        if not n:
-            return
-        table = pa.Table.from_batches(tables).drop_columns(["run", "step"])
-        order = [at for _, at in LoserTree(list(slices.values()))]
-        yield from table.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=5000)
 
-    return dealt.mapInArrow(merge, CAPTURE)
+def merged(batches: Iterable[pa.RecordBatch], merge_rows: int = MERGE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows of runs, whose blocks come in the order of their first keys, in the order of their own.
+
+    What lies below the next block's first key is merged by a loser tree and
+    given out whenever ``merge_rows`` more rows are held than were left over.
+    """
+    held: list[pa.RecordBatch] = []
+    n = left = 0
+
+    def give(below: tuple | None) -> Iterator[pa.RecordBatch]:
+        nonlocal held, n, left
+        table = pa.Table.from_batches(held)
+        keys, slices = _keys(table), {}
+        for at, run in enumerate(table.column("run").to_pylist()):
+            if below is None or keys[at] < below:
+                slices.setdefault(run, []).append((keys[at], at))
+        order = [at for _, at in LoserTree(list(slices.values()))]
+        yield from table.take(pa.array(order, pa.int64())).drop_columns(["run", "step", "lead"]).combine_chunks().to_batches(max_chunksize=5000)
+        if below is not None:
+            rest = [at for at, key in enumerate(keys) if key >= below]
+            held = table.take(pa.array(rest, pa.int64())).combine_chunks().to_batches()
+            n = left = len(rest)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= left + merge_rows:
+            yield from give(_keys(batch.column("lead").slice(0, 1))[0])
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield from give(None)
+
+
+def merge_runs(runs: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """One history out of the runs: rows in the order of ORDER, over partitions in turn."""
+    keys: list[Column] = [F.col(c).asc_nulls_first() for c in ORDER]
+    leads: list[Column] = [F.col(f"lead.{c}").asc_nulls_first() for c in ORDER]
+    dealt = runs.repartitionByRange(max(width(runs.sparkSession), 1), *keys).sortWithinPartitions(*leads, "run", "step")
+    return dealt.mapInArrow(lambda batches: merged(batches, merge_rows), CAPTURE)
 
 
 def archive_pages(pages: DataFrame, minimum: int = 0) -> DataFrame:
@@ -290,6 +339,6 @@ def archive_pages(pages: DataFrame, minimum: int = 0) -> DataFrame:
     names are gathered, as a table; payloads stay in the shared folder. The
     pages must be a stable scan, such as a written table.
     """
-    folder = shared_dir(pages.sparkSession)
+    folder = _qualified(pages.sparkSession, shared_dir(pages.sparkSession))
     archives = write_archives(deduplicated(pages, minimum), folder)
     return merge_runs(cut(read_runs(archives, folder)))
