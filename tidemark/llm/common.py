@@ -74,7 +74,7 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        for name in names:
+        for name in tuple(names):
             if path := self.held.pop(name, None):
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -87,10 +87,11 @@ HEAVY = 1000
 def attach(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFrame:
     """Left join ``rows`` to a table with one row per ``key``, safe for heavy keys.
 
-    ``key`` is a string or binary column and ``count`` says how many of the rows
-    have each key. Keys with over a thousandth of the counted rows are fewer
-    than a thousand, so they are broadcast; rows that met one get a key of their
-    own for the shuffled join with the rest, so no task receives a heavy key.
+    ``count`` says how many of the rows have each key. Keys with over a
+    thousandth of the counted rows are fewer than a thousand, so they are
+    broadcast; rows that met one, or have no key, get a salt of their own for
+    the shuffled join with the rest, so no task receives a heavy key.
+    ``unique`` is read three times: a written table is best.
     """
     names = [c for c in unique.columns if c not in (key, count)]
     total = unique.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
@@ -98,11 +99,10 @@ def attach(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFram
         return rows.select("*", *[F.lit(None).cast(unique.schema[c].dataType).alias(c) for c in names])
     pack = F.struct(*names)
     heavy = unique.where(F.col(count) * HEAVY > F.lit(total)).select(F.col(key), pack.alias("_heavy"))
-    light = unique.where(F.col(count) * HEAVY <= F.lit(total)).select(F.col(key).alias("_key"), pack.alias("_light"))
-    met = rows.join(F.broadcast(heavy), key, "left").withColumn("_own", F.monotonically_increasing_id())
-    own = F.concat(F.lit("row "), F.col("_own").cast("string")).cast(rows.schema[key].dataType)
-    met = met.withColumn("_key", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), own).otherwise(F.col(key)))
-    found = met.join(light, "_key", "left").withColumn("_found", F.coalesce("_heavy", "_light"))
+    light = unique.where(F.col(count) * HEAVY <= F.lit(total)).select(F.col(key), F.lit(-1).cast("bigint").alias("_salt"), pack.alias("_light"))
+    met = rows.join(F.broadcast(heavy), key, "left")
+    met = met.withColumn("_salt", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    found = met.join(light, [key, "_salt"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
     return found.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])
 
 

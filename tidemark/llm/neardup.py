@@ -10,9 +10,13 @@
 3. Texts of clustered nodes only are gathered by cluster, and every pair within
    a cluster is held against the threshold on the full sets.
 
-Buckets and clusters over a block's size are split into chunks and worked on as
-pairs of chunks, so no task holds more than two chunks of one, no pair is left
-out, and a block returns a spanning tree of what it links, not its pairs. With
+Buckets and clusters over a block's size are split into chunks, so no task holds
+more than two chunks of one. First every chunk is compared within itself and
+with one pivot of its group. Members that are thereby connected with the pivot
+are connected with each other, and their pairs need no look; every other member
+is then compared with all chunks. So a group of copies of one text costs work in
+proportion to its size, and no pair that could connect anything is left out. A
+block returns a spanning tree of what it links, not its pairs. With
 the default samples and bands a link of exactly the threshold is missed with a
 probability under one in a million; links of higher similarity with less.
 """
@@ -22,7 +26,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Tables, attach, by_group, cut, width
+from tidemark.llm.common import Tables, attach, by_group, width
 from tidemark.llm.components import components
 
 SAMPLES = 256
@@ -148,16 +152,40 @@ def _sketched(documents: DataFrame, rule: Rule) -> DataFrame:
     return narrow.mapInArrow(work, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, odd binary")
 
 
-def _in_blocks(members: DataFrame, group: str, chunk_rows: int) -> DataFrame:
-    """Members of groups, copied to the pairs of chunks they take part in: columns i, j and chunk are added.
+def _links_in_groups(members: DataFrame, group: str, chunk_rows: int, compare: Callable[[DataFrame], DataFrame], tables: Tables) -> DataFrame:
+    """Links a, b that connect what ``compare`` links within each group of members (columns ``group`` and node).
 
-    A group that fits in one chunk is the pair (0, 0). Groups of one are left out.
+    ``compare`` takes blocks: members with columns i, j and chunk. Where i = j,
+    every pair of the block's rows is to be compared, else the rows of chunk i
+    with those of chunk j. Groups of one give no block. Group sizes are joined
+    so that the rows of one hot group never meet in one task.
     """
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    sized = members.join(sizes.withColumn("_chunks", F.ceil(F.col("_n") / chunk_rows)).drop("_n"), group)
-    chunk = sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")))
-    pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    return chunk.withColumn("_pair", F.explode(pair)).select("*", "_pair.i", "_pair.j").drop("_pair", "_chunks")
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_pivot")).where("_n > 1")
+    sizes = tables.put("sizes", sizes.withColumn("_chunks", F.ceil(F.col("_n") / chunk_rows)))
+    chunk = F.pmod(F.xxhash64("node"), F.col("_chunks"))
+    sized = attach(members, sizes, group, "_n").where("_chunks IS NOT NULL").withColumn("chunk", chunk)
+    large = sizes.where("_chunks > 1")
+    pivots = large.select(group, F.col("_pivot").alias("node"), "_chunks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)).alias("chunk")).where(F.col("chunk") != chunk)
+    blocks = sized.select(group, "node", "chunk").unionByName(pivots.select(group, "node", "chunk"))
+    links = tables.put("within", compare(blocks.withColumn("i", F.col("chunk")).withColumn("j", F.col("chunk"))).distinct())
+    if large.isEmpty():
+        return links
+    roots = tables.put("roots", components(links))
+    pivot_roots = large.join(roots.withColumnRenamed("node", "_pivot"), "_pivot", "left").select(group, "_n", F.coalesce("root", "_pivot").alias("_at"))
+    in_large = sized.where("_chunks > 1").select(group, "node", "chunk", "_chunks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = attach(in_large, tables.put("pivots", pivot_roots), group, "_n").where("root <> _at").select(group, "node", "_chunks")
+    apart = tables.put("apart", apart)
+    if apart.isEmpty():
+        return links
+    left = apart.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("_parts"))
+    left = tables.put("left", left.join(large.select(group, "_n"), group))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    part = (-1 - F.pmod(F.xxhash64("node"), F.col("_parts"))).alias("i")
+    those = attach(apart, left, group, "_n").select(group, "node", part, every("_chunks").alias("j")).withColumn("chunk", F.col("i"))
+    others = attach(sized.where("_chunks > 1").select(group, "node", "chunk"), left, group, "_n").where("_parts IS NOT NULL")
+    others = others.select(group, "node", "chunk", every("_parts").alias("_part")).select(group, "node", (-1 - F.col("_part")).alias("i"), F.col("chunk").alias("j"), "chunk")
+    across = tables.put("across", compare(those.unionByName(others)).distinct())
+    return links.unionByName(across)
 
 
 def _close_in_sketch(blocks: DataFrame, rule: Rule) -> DataFrame:
@@ -253,17 +281,19 @@ def _placed(documents: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
     best = F.min(F.struct("doc_id", "n_shingles", "bands", "odd")).alias("top")
     nodes = tables.put("nodes", linkable.groupBy("node").agg(best, F.count(F.lit(1)).alias("copies")).select("node", "copies", "top.*"))
 
+    passing = Tables(documents.sparkSession)
     members = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    blocks = _in_blocks(members, "band", SKETCH_CHUNK).join(nodes.select("node", "n_shingles", "odd"), "node")
-    near = tables.put("near", _close_in_sketch(blocks, rule).distinct())
+    sketches = nodes.select("node", "n_shingles", "odd")
+    near = _links_in_groups(members, "band", SKETCH_CHUNK, lambda blocks: _close_in_sketch(blocks.join(sketches, "node"), rule), passing)
     clusters = tables.put("clusters", components(near).withColumnRenamed("root", "cluster"))
+    passing.drop(*passing.held)
 
-    gathered = clusters.join(nodes.select("node", "doc_id"), "node")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = _in_blocks(gathered, "cluster", TEXT_CHUNK).select("cluster", "i", "j", "chunk", "node", "doc_id")
-    linked = tables.put("linked", _linked_in_full(blocks.join(texts, "doc_id").drop("doc_id"), rule).distinct())
+    places = nodes.select("node", "doc_id")
+    linked = _links_in_groups(clusters, "cluster", TEXT_CHUNK, lambda blocks: _linked_in_full(blocks.join(places, "node").join(texts, "doc_id").drop("doc_id"), rule), passing)
 
-    roots = components(linked)
+    roots = tables.put("components", components(linked))
+    passing.drop(*passing.held)
     named = nodes.select("node", "copies", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = tables.put("named", named)
     smallest = named.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("top"), F.count(F.lit(1)).alias("_n"))
@@ -271,7 +301,7 @@ def _placed(documents: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
     placed = attach(named.select("node", "copies", "root"), tables.put("smallest", smallest), "root", "_n").select("node", "copies", "component_id", "keeper")
     found = attach(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), tables.put("placed", placed), "node", "copies")
     component = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    tables.drop("near", "clusters", "nodes", "linked", "named", "smallest")
+    tables.drop("clusters", "nodes", "components", "named", "smallest")
     return found.select("doc_id", "n_shingles", "node", component.alias("component_id"), "keeper")
 
 
