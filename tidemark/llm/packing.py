@@ -3,20 +3,20 @@
 All a packer needs to know about a corpus is how many pieces it has of each
 length, so the plan is made from that histogram alone: at most ``capacity``
 counts, whatever the size of the corpus. The plan is a list of patterns (the
-lengths of one sequence) with the number of sequences that use each. Lengths
-are taken from the longest down; the gap left by one is looked up among the
-single lengths, then in the index of pair sums, then of triple sums, and a
-combination that fills the gap exactly is used as often as the counts allow.
-What no combination completes goes by best fit. Pieces are then numbered
-within their length, across the cluster, and each looks up its sequence and
-offset from its number.
+lengths of one sequence) with the number of sequences that use each. A hashed
+index holds the sums of one, two and three lengths in stock. The gap that a
+length or an opened sequence leaves is looked up in the index, and each
+combination that fills it exactly is used as often as the counts allow. What no
+combination completes goes by best fit. Pieces are then numbered within their
+length, across the cluster, and each looks up its sequence and offset from its
+number.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,112 +58,166 @@ class Plan:
         return {k: tuple(np.array(column, dtype=np.int64) for column in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def _fits(need: tuple[int, ...], count: np.ndarray) -> int:
-    """How many times a combination of lengths can be taken from the counts."""
-    return min(int(count[x]) // need.count(x) for x in set(need))
+class Sums:
+    """The sums, below the capacity, of one, two and three lengths: a hash table from each to its combinations.
 
+    A triple is held as its longest length and the sum of the other two, whose
+    pairs the same index gives. Lookups go by the counts of the moment.
+    """
+
+    def __init__(self, lengths: Iterable[int], capacity: int):
+        stock = sorted((x for x in lengths if x < capacity), reverse=True)
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.triples: dict[int, list[tuple[int, int]]] = {}
+        for i, a in enumerate(stock):
+            for b in stock[i:]:
+                if a + b < capacity:
+                    self.pairs.setdefault(a + b, []).append((a, b))
+        evenest = {total: found[-1][0] for total, found in self.pairs.items()}
+        for a in stock:
+            for total in range(2, capacity - a):
+                if evenest.get(total, a + 1) <= a:
+                    self.triples.setdefault(a + total, []).append((a, total))
+
+    def filling(self, gap: int, count: np.ndarray, parts: int, even: bool) -> Iterator[tuple[int, ...]]:
+        """Combinations in stock of up to ``parts`` lengths that sum to the gap: fewest first, then the least even or the most."""
+        order = reversed if even else iter
+        if count[gap]:
+            yield (gap,)
+        if parts > 1:
+            yield from (p for p in order(self.pairs.get(gap, [])) if count[p[0]] and count[p[1]])
+        if parts > 2:
+            for a, total in order(self.triples.get(gap, [])):
+                if count[a]:
+                    yield from ((a, *p) for p in order(self.pairs[total]) if p[0] <= a and count[p[0]] and count[p[1]])
+
+    def anchored(self, length: int, gap: int, count: np.ndarray, parts: int, even: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Patterns of pieces of one length, which may complete themselves, with what fills their gap; both are taken from the counts."""
+        for others in self.filling(gap, count, parts, even):
+            pattern = (length, *others)
+            n = min(int(count[x]) // pattern.count(x) for x in set(pattern))
+            if n:
+                for x in pattern:
+                    count[x] -= n
+                yield pattern, n
+            if not count[length]:
+                return
+
+    def take(self, begun: tuple[int, ...], most: int, gap: int, count: np.ndarray, parts: int, even: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Up to ``most`` sequences of the lengths ``begun`` and what fills their gap, as patterns with counts; the lengths are taken from the counts."""
+        for others in self.filling(gap, count, parts, even):
+            n = min(most, *(int(count[x]) // others.count(x) for x in set(others)))
+            if n:
+                for x in others:
+                    count[x] -= n
+                most -= n
+                yield (*begun, *others), n
+            if not most:
+                return
+
+
+class Opened:
+    """Sequences with a gap, equal ones as one entry."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        self.gaps: list[int] = []
+
+    def put(self, pattern: tuple[int, ...], n: int) -> None:
+        gap = self.capacity - sum(pattern)
+        if gap not in self.by_gap:
+            self.by_gap[gap] = []
+            bisect.insort(self.gaps, gap)
+        self.by_gap[gap].append((pattern, n))
+
+    def fit(self, length: int, n: int) -> None:
+        """Put n pieces where they leave the least gap, or into new sequences."""
+        while n:
+            at = bisect.bisect_left(self.gaps, length)
+            if at == len(self.gaps):
+                each = self.capacity // length
+                if n >= each:
+                    self.put((length,) * each, n // each)
+                if n % each:
+                    self.put((length,) * (n % each), 1)
+                return
+            gap = self.gaps[at]
+            pattern, free = self.by_gap[gap].pop()
+            if not self.by_gap[gap]:
+                del self.by_gap[gap]
+                self.gaps.pop(at)
+            used = min(free, n)
+            if used < free:
+                self.put(pattern, free - used)
+            self.put((*pattern, length), used)
+            n -= used
 
-def _fill(gap: int, count: np.ndarray, most: int, parts: int = 3) -> tuple[int, ...] | None:
-    """Lengths that sum to ``gap`` exactly and are in stock: one, else two, else three, ``parts`` at most, the longest first."""
-    if gap <= most and count[gap] > 0:
-        return (gap,)
-    if parts < 2:
-        return None
+    def complete(self, sums: Sums, count: np.ndarray, even: bool) -> Iterator[tuple[tuple[int, ...], int]]:
+        """The sequences whose gaps combinations fill exactly; the others stay open."""
+        entries = [(gap, pattern, n) for gap in self.gaps for pattern, n in self.by_gap[gap]]
+        self.by_gap, self.gaps = {}, []
+        for gap, pattern, n in entries:
+            if gap:
+                for found in sums.take(pattern, n, gap, count, 3, even):
+                    n -= found[1]
+                    yield found
+            if n:
+                self.put(pattern, n)
 
-    def pair(total: int, top: int) -> tuple[int, int] | None:
-        a = np.arange(min(top, total - 1), (total + 1) // 2 - 1, -1)
-        good = np.flatnonzero((count[a] > 0) & (count[total - a] > (a == total - a)))
-        return (int(a[good[0]]), int(total - a[good[0]])) if len(good) else None
+    def all(self) -> Iterator[tuple[tuple[int, ...], int]]:
+        for gap in self.gaps:
+            yield from self.by_gap[gap]
 
-    if found := pair(gap, most):
-        return found
-    if parts < 3:
-        return None
-    for a in range(min(gap - 2, most), (gap + 2) // 3 - 1, -1):
-        if count[a] > 0:
-            count[a] -= 1
-            found = pair(gap - a, a)
-            count[a] += 1
-            if found:
-                return (a, *found)
-    return None
+
+#: Orders in which complements are consumed: how many lengths the passes may use, whether the evenest combination of a sum comes
+#: first, and the length from which on pieces that single complements leave are opened by best fit before their gaps are looked up.
+ORDERS = [(passes, even, None) for passes in ((3,), (1, 2, 3)) for even in (False, True)] + [((1,), even, least) for even in (False, True) for least in (512, 256, 128, 64, 32)]
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Pack the histogram's pieces, exact complements first, then best fit.
+    """Pack the histogram's pieces, exact complements of up to three lengths first, then best fit.
 
-    Complements are consumed in several orders (length by length; all singles,
-    then all pairs, then all triples; singles alone, the rest by best fit), and
-    the plan of the fewest sequences counts.
+    Which pieces complete which decides what is left in the end, so complements
+    are consumed in each of ``ORDERS`` and the plan of the fewest sequences counts.
     """
     count = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"a piece of {length} tokens does not fit in {capacity}")
         count[length] += n
-    plans = [_plan(count.copy(), capacity, passes) for passes in ((3,), (1, 2, 3), (1,))]
-    return min(plans, key=lambda plan: plan.sequences)
-
-
-def _plan(count: np.ndarray, capacity: int, passes: tuple[int, ...]) -> Plan:
-    plan = Plan(capacity)
+    sums = Sums(np.flatnonzero(count).tolist(), capacity)
+    least = -(-int((count * np.arange(capacity + 1)).sum()) // capacity)
+    best: Plan | None = None
+    for order in ORDERS:
+        plan = _plan(count.copy(), sums, capacity, *order)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
+def _plan(count: np.ndarray, sums: Sums, capacity: int, passes: tuple[int, ...], even: bool, least: int | None) -> Plan:
+    plan, opened = Plan(capacity), Opened(capacity)
     if count[capacity]:
         plan.patterns.append(((capacity,), int(count[capacity])))
         count[capacity] = 0
     for parts in passes:
         for length in range(capacity - 1, 0, -1):
-            while count[length] > 0:
-                count[length] -= 1
-                others = _fill(capacity - length, count, capacity - 1, parts)
-                count[length] += 1
-                if others is None:
-                    break
-                pattern = (length, *others)
-                n = _fits(pattern, count)
-                for x in pattern:
-                    count[x] -= n
-                plan.patterns.append((pattern, n))
-    _best_fit([(x, int(count[x])) for x in range(capacity - 1, 0, -1) if count[x]], plan)
+            if count[length]:
+                plan.patterns.extend(sums.anchored(length, capacity - length, count, parts, even))
+    if least is not None:
+        for length in range(capacity - 1, min(least, capacity) - 1, -1):
+            opened.fit(length, int(count[length]))
+            count[length] = 0
+        plan.patterns.extend(opened.complete(sums, count, even))
+    for length in range(capacity - 1, 0, -1):
+        opened.fit(length, int(count[length]))
+    plan.patterns.extend(opened.all())
     return plan
 
 
-def _best_fit(rest: list[tuple[int, int]], plan: Plan) -> None:
-    """Best fit in falling order of length over open sequences, equal ones as one entry."""
-    open_by_gap: dict[int, list[list]] = {}
-    gaps: list[int] = []
-
-    def put(pattern: tuple[int, ...], n: int) -> None:
-        gap = plan.capacity - sum(pattern)
-        if gap not in open_by_gap:
-            open_by_gap[gap] = []
-            bisect.insort(gaps, gap)
-        open_by_gap[gap].append([pattern, n])
-
-    for length, n in rest:
-        while n:
-            at = bisect.bisect_left(gaps, length)
-            if at == len(gaps):
-                each = plan.capacity // length
-                if n >= each:
-                    put((length,) * each, n // each)
-                if n % each:
-                    put((length,) * (n % each), 1)
-                n = 0
-                continue
-            gap = gaps[at]
-            pattern, free = open_by_gap[gap].pop()
-            if not open_by_gap[gap]:
-                del open_by_gap[gap]
-                gaps.pop(at)
-            used = min(free, n)
-            if used < free:
-                put(pattern, free - used)
-            put((*pattern, length), used)
-            n -= used
-    for gap in gaps:
-        plan.patterns.extend((pattern, n) for pattern, n in open_by_gap[gap])
-
-
 _encoders: dict[str, object] = {}
 
 
