@@ -8,7 +8,9 @@ arguments name as strings ``"$id"``. Any other text is plain content.
 Calls and results meet in a hash join on conversation and id; a call's level in
 the topological order is one more than the highest level it depends on, found
 round by round in joins on the same key, so a conversation of any length is
-never gathered in one task. Canonical JSON has its keys in order and no spaces.
+never gathered in one task. In each round a call that waits for one other alone
+takes over what that one waits for, so a chain of n calls takes log n rounds.
+Canonical JSON has its keys in order and no spaces.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Tables
+from tidemark.llm.common import Tables, attach
 
-#: Argument types by tool, in the words of JSON schema; a name ending in ? may be absent.
-Schemas = dict[str, dict[str, str]]
+#: Argument types by tool: a word of JSON schema, a list of one type for an array's items, or the fields of an object.
+#: A field whose name ends in ? may be absent; fields that aren't named are allowed only where the field * is.
+Type = str | list | dict
+Schemas = dict[str, dict[str, Type]]
 
 _KINDS = {
     "string": "^STRING$",
@@ -36,18 +40,31 @@ def canonical(value: Column) -> Column:
     return F.to_json(F.try_parse_json(value))
 
 
+def fits(value: Column, kind: Type) -> Column:
+    """Whether a variant is of a type; null for an absent one."""
+    schema = F.schema_of_variant(value)
+    if isinstance(kind, str):
+        return schema.rlike(_KINDS[kind])
+    if isinstance(kind, list):
+        every = F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda item: F.coalesce(fits(item, kind[0]), F.lit(False)))
+        return F.when(schema.isNotNull(), schema.startswith("ARRAY") & F.coalesce(every, F.lit(False)))
+    good = schema.startswith("OBJECT")
+    for field, inner in kind.items():
+        if field != "*":
+            part = F.try_variant_get(value, f"$['{field.rstrip('?')}']", "variant")
+            good = good & F.coalesce(fits(part, inner), F.lit(field.endswith("?")))
+    if "*" not in kind:
+        names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        good = good & F.coalesce(F.forall(names, lambda name: name.isin(*[f.rstrip("?") for f in kind])), F.lit(False))
+    return F.when(schema.isNotNull(), good)
+
+
 def valid_arguments(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """Whether the arguments fit the named tool's schema; false for an unknown tool or what isn't an object."""
     parsed = F.try_parse_json(arguments)
     verdict = F.lit(False)
     for tool, fields in schemas.items():
-        fits = F.schema_of_variant(parsed).startswith("OBJECT")
-        for field, kind in fields.items():
-            path = f"$['{field.rstrip('?')}']"
-            value = F.try_variant_get(parsed, path, "variant")
-            right = F.coalesce(F.schema_of_variant(value).rlike(_KINDS[kind]), F.lit(field.endswith("?")))
-            fits = fits & right
-        verdict = F.when(name == tool, F.coalesce(fits, F.lit(False))).otherwise(verdict)
+        verdict = F.when(name == tool, F.coalesce(fits(parsed, fields), F.lit(False))).otherwise(verdict)
     return F.coalesce(verdict, F.lit(False))
 
 
@@ -70,45 +87,90 @@ def read_messages(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: No chain of calls is longer.
+ENDLESS = 1 << 40
+#: Rounds whose levels are kept as tables of their own before they are put into one.
+PARTS = 16
+
+
+def levels_of(calls: DataFrame, needs: DataFrame, tables: Tables) -> DataFrame:
+    """The level of every call (conv_id, call_id) that isn't on a cycle of needs (conv_id, call_id, needed) or behind one.
+
+    A waiting call is held as the least level it can have and what it still
+    waits for, each with the steps to it. A round removes the needs that were
+    settled in the round before; then calls with one need left take over their
+    need's, if that has one left too. When a round settles no call, none that
+    is left ever will be. Calls that wait for several at each step of a long
+    ladder settle one step a round.
+    """
+    key = ["conv_id", "call_id"]
+    one = F.struct(F.col("needed"), F.lit(1).cast("bigint").alias("steps"))
+    waiting = tables.put("waiting", needs.groupBy(*key).agg(F.lit(0).cast("bigint").alias("least"), F.collect_set(one).alias("needs")))
+    settled = tables.put("settled0", calls.join(waiting, key, "left_anti").select(*key, F.lit(0).cast("bigint").alias("level")))
+    parts, round_ = [settled], 0
+    while not settled.isEmpty():
+        round_ += 1
+        known = settled.select("conv_id", F.col("call_id").alias("needed"), F.col("level").alias("below"))
+        each = waiting.select(*key, "least", F.explode("needs").alias("need")).select(*key, "least", "need.*").join(known, ["conv_id", "needed"], "left")
+        left = F.collect_list(F.when(F.col("below").isNull(), F.struct("needed", "steps")))
+        after = each.groupBy(*key).agg(F.greatest(F.max("least"), F.max(F.col("below") + F.col("steps"))).alias("least"), left.alias("needs"))
+        after = tables.put("after", after)
+        settled = tables.put(f"settled{round_}", after.where("size(needs) = 0").select(*key, F.col("least").alias("level")))
+        after = after.where("size(needs) > 0")
+        only = F.when(F.size("needs") == 1, F.col("needs")[0])
+        behind = after.where("size(needs) = 1").select("conv_id", F.col("call_id").alias("_of"), F.col("least").alias("_least"), F.col("needs")[0].alias("_need"))
+        jumped = after.withColumn("_only", only).withColumn("_of", F.col("_only.needed")).join(behind, ["conv_id", "_of"], "left")
+        further = F.array(F.struct(F.col("_need.needed").alias("needed"), F.least(F.col("_only.steps") + F.col("_need.steps"), F.lit(ENDLESS)).alias("steps")))
+        found = F.col("_need").isNotNull()
+        least = F.when(found, F.greatest("least", F.least(F.col("_least") + F.col("_only.steps"), F.lit(ENDLESS)))).otherwise(F.col("least"))
+        waiting = tables.put("waiting", jumped.select(*key, least.alias("least"), F.when(found, further).otherwise(F.col("needs")).alias("needs")))
+        parts.append(settled)
+        if len(parts) > PARTS:
+            whole = tables.put(f"levels{round_}", _union(parts))
+            tables.drop(*[n for n in tables.held if n.startswith(("settled", "levels")) and n not in (f"settled{round_}", f"levels{round_}")])
+            parts = [whole]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def link_calls(messages: DataFrame, schemas: Schemas, tables: Tables) -> DataFrame:
     """One row per call: the message row that makes it, where it is answered, its level, and whether its arguments are valid.
 
     A call without an id, or that repeats an earlier one's, is linked to
     nothing, while calls of one id at the same turn and place, as repeated rows
     have them, are linked alike; of several results the earliest after the call counts. Calls on a
-    cycle, or behind one, have no level.
+    cycle, or behind one, have no level. An id that very many calls or results
+    share is joined without meeting in one task.
     """
+    both = F.when(F.col("call_id").isNotNull(), F.struct("conv_id", "call_id")).alias("key")
     made = messages.where("calls IS NOT NULL").select("_row", "conv_id", "turn", F.posexplode("calls").alias("index", "call"))
     made = made.select("_row", "conv_id", "turn", "index", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.coalesce("call.arguments", F.lit("{}")).alias("arguments"))
-    made = tables.put("made", made)
-    first = made.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "index")).alias("first"))
+    made = tables.put("made", made.select("*", both))
+    first = made.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("turn", "index")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = tables.put("first", first)
-    answers = messages.where("answered IS NOT NULL").select("conv_id", F.col("answered").alias("call_id"), F.col("turn").alias("at"))
-    answered = first.join(answers, ["conv_id", "call_id"]).where("at > first.turn").groupBy("conv_id", "call_id").agg(F.min("at").alias("answered_at"))
+    answers = messages.where("answered IS NOT NULL").select("conv_id", F.col("answered").alias("call_id"), F.col("turn").alias("at")).select("at", both)
+    counted = first.select("key", "first").join(answers.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    answered = attach(answers, tables.put("answers", counted), "key", "n").where("at > first.turn").groupBy("key").agg(F.min("at").alias("answered_at"))
     named = F.regexp_extract_all("arguments", F.lit('"\\$([^"]+)"'), F.lit(1))
-    needs = made.join(first, ["conv_id", "call_id"]).where("turn = first.turn AND index = first.index").select("conv_id", "call_id", F.explode(F.array_distinct(named)).alias("needed")).distinct()
-    needs = tables.put("needs", needs.join(first.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"]))
-    waiting = needs.select("conv_id", "call_id").distinct()
-    levels = tables.put("levels", first.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    round_ = 0
-    while True:
-        round_ += 1
-        known = levels.select("conv_id", F.col("call_id").alias("needed"), F.col("level").alias("below"))
-        seen = needs.join(known, ["conv_id", "needed"], "left").groupBy("conv_id", "call_id").agg(F.max("below").alias("below"), F.count("below").alias("n"), F.count(F.lit(1)).alias("of"))
-        ready = seen.where("n = of").join(levels, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("below") + 1).alias("level"))
-        ready = tables.put(f"ready{round_ % 2}", ready)
-        if ready.isEmpty():
-            break
-        levels = tables.put("levels", levels.unionByName(ready))
-    key = ["conv_id", "call_id"]
-    ordered = first.join(answered, key, "left").join(levels, key, "left")
-    linked = made.join(ordered, key, "left")
+    begun = attach(made.select("key", "turn", "index", "arguments"), first, "key", "n").where("turn = first.turn AND index = first.index")
+    needs = begun.groupBy("key").agg(F.max("arguments").alias("arguments")).select("key.*", F.explode(F.array_distinct(named)).alias("needed"))
+    calls = first.select("key.*")
+    needs = tables.put("needs", needs.join(calls.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]))
+    levels = levels_of(calls, needs, tables).select(F.struct("conv_id", "call_id").alias("key"), "level")
+    ordered = tables.put("ordered", first.join(answered, "key", "left").join(levels, "key", "left"))
+    linked = attach(made, ordered, "key", "n")
     is_first = F.coalesce((F.col("turn") == F.col("first.turn")) & (F.col("index") == F.col("first.index")), F.lit(False))
     return linked.select(
         "_row", "index", "call_id", "name",
         F.coalesce(canonical(F.col("arguments")), F.col("arguments")).alias("arguments"),
         F.when(is_first, F.col("answered_at")).alias("answered_at"),
-        F.when(is_first, F.col("level")).alias("level"),
+        F.when(is_first, F.col("level")).cast("int").alias("level"),
         valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"),
     )
 
