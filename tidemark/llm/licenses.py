@@ -26,45 +26,64 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "This project is released under the Apache License 2.0.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "This software is distributed under the terms of the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license.",
         "Released under the 3-Clause BSD License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GPL version 3 or later.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute this library under the terms of the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Released under the Mozilla Public License 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This article is distributed under the terms of the Creative Commons Attribution 4.0 License, which permits unrestricted use and redistribution provided that the original author and source are credited.",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This is an open access article distributed under the Creative Commons Attribution-NonCommercial License, which permits non-commercial use only.",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
     ),
     "cc0": (
         "Released into the public domain under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "This work has been dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
     ),
 }
 UNKNOWN = "unknown"
@@ -74,9 +93,32 @@ NEAR_MISSES = (
     "The committee discussed which license to choose and put off the decision.",
     "A copy of the contract was sent under separate cover to the public office.",
     "Version 3 of the software was released under great pressure in May.",
+    "The restaurant lost its license to sell alcohol and closed in the spring.",
+    "Permission to film was granted by the mayor, and any person in the street could watch.",
+    "Students at MIT built the first version of this software in a cellar.",
+    "The general public may visit the museum free of charge on Sundays.",
+    "All conditions of the sale were met and the copies were delivered without modification.",
+    "The book compares the history of free software with that of the commons.",
+    "Our commercial license allows redistribution to paying customers only; contact sales for terms.",
+    "The university holds the copyright and all rights are reserved.",
 )
 
 
+#: Notices in other words. No fit sees them: they calibrate the chances.
+REWORDED: dict[str, tuple[str, ...]] = {
+    "apache-2.0": ("The source is available under version 2.0 of the Apache License.", "Copyright 2019 the contributors; licensed under the Apache 2.0 license."),
+    "mit": ("You may use this code under the MIT license.", "This module, like the rest, is MIT licensed; permission is granted to any person to copy it."),
+    "bsd": ("Distributed under the BSD license, three clauses.", "Redistribution in source and binary forms is permitted provided that this notice is retained."),
+    "gpl-3.0": ("You can modify this software under the GNU General Public License as published by the Free Software Foundation, version 3.", "This tool is released under the GNU GPL, version 3."),
+    "lgpl": ("The library may be redistributed under the GNU Lesser General Public License.", "Licensed under the LGPL, the Lesser General Public License, version 2.1 or later."),
+    "mpl-2.0": ("This file is covered by the Mozilla Public License, version 2.0.", "The terms of the Mozilla Public License 2.0 apply to this source code."),
+    "cc-by": ("The figures are published under the Creative Commons Attribution 4.0 International license.", "This text is available under CC BY 4.0."),
+    "cc-by-nc": ("Slides are licensed under a Creative Commons Attribution-NonCommercial 4.0 license.", "This dataset is released under CC BY-NC 4.0 terms."),
+    "cc-by-sa": ("Pictures are shared under the Creative Commons Attribution-ShareAlike 4.0 International License.", "The content is available under CC BY-SA 4.0."),
+    "cc0": ("The author waives all rights and dedicates this work to the public domain under CC0.", "Dedicated to the public domain under the CC0 1.0 Universal terms."),
+}
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights per bucket and class, scaled to whole numbers; the last class is the unknown one."""
@@ -177,45 +219,63 @@ def train(spark: SparkSession, documents: DataFrame, training: Training = Traini
     """Fit the classifier on the buckets that notices have.
 
     The sample is the distinct paragraphs of the lowest hashes that no template
-    confirms. One that speaks of licences without being one is among them.
+    confirms. One that speaks of licences without being one is among them. The
+    chances are calibrated on rows that the fit hasn't seen: notices in other
+    words, every third near miss and every tenth paragraph of the sample.
     """
-    known = [(kind, variant) for kind, notices in TEMPLATES.items() for notice in notices for variant in _variants(notice)]
-    known += [(UNKNOWN, text) for text in NEAR_MISSES]
-    labelled = spark.createDataFrame(known, "kind string, text string")
+    known = [(kind, False, variant) for kind, notices in TEMPLATES.items() for notice in notices for variant in _variants(notice)]
+    known += [(kind, True, variant) for kind, notices in REWORDED.items() for notice in notices for variant in _variants(notice)]
+    known += [(UNKNOWN, i % 3 == 2, text) for i, text in enumerate(NEAR_MISSES)]
+    labelled = spark.createDataFrame(known, "kind string, held boolean, text string")
     noticed = spark.createDataFrame([(k, t) for k, ts in TEMPLATES.items() for t in ts], "kind string, text string")
     notices = with_features(noticed, training.buckets).select("kind", F.col("_grams").alias("grams")).collect()
     templates: dict[str, list[list[int]]] = {}
     for row in notices:
         templates.setdefault(row["kind"], []).append(sorted(set(row["grams"])))
     sample = unlike(paragraphs(documents), templates, training).select(F.lit(UNKNOWN).alias("kind"), "text")
-    rows = with_features(labelled.unionByName(sample), training.buckets).select("kind", F.col("_grams").alias("grams")).collect()
+    sample = sample.select("kind", (F.pmod(F.xxhash64("text"), F.lit(10)) == 9).alias("held"), "text")
+    rows = with_features(labelled.unionByName(sample), training.buckets)
+    rows = rows.select("kind", "held", F.col("_grams").alias("grams"), F.xxhash64("text").alias("at")).orderBy("kind", "held", "at").collect()
     classes = (*TEMPLATES, UNKNOWN)
-    seen = np.array(sorted({g for row in rows if row["kind"] != UNKNOWN for g in row["grams"]}))
+    seen = np.array(sorted({g for row in rows if row["kind"] != UNKNOWN and not row["held"] for g in row["grams"]}))
     column = {g: i for i, g in enumerate(seen.tolist())}
     x = np.zeros((len(rows), len(seen)), np.float32)
-    y = np.zeros(len(rows), np.int64)
+    y = np.array([classes.index(row["kind"]) for row in rows])
     for i, row in enumerate(rows):
-        y[i] = classes.index(row["kind"])
         np.add.at(x[i], [column[g] for g in row["grams"] if g in column], 1.0 / max(1.0, np.sqrt(len(row["grams"]))))
-    held = np.arange(len(rows)) % 10 == 9
-    balance = (1.0 / np.maximum(1, np.bincount(y, minlength=len(classes))))[y]
-    w, b = np.zeros((len(seen), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    fit, target = x[~held], np.eye(len(classes), dtype=np.float32)[y[~held]]
-    weight = (balance[~held] / balance[~held].sum() * 1.0)[:, None].astype(np.float32)
+    held = np.array([row["held"] for row in rows])
+    w, b = fit(x[~held], y[~held], len(classes), training)
+    heat = calibrated(x[held] @ w + b, y[held])
+    weights = np.zeros((training.buckets, len(classes)), np.int64)
+    weights[seen] = np.rint(w * heat * ngrams.SCALE).astype(np.int64)
+    return Model(classes, weights, np.rint(b * heat * ngrams.SCALE).astype(np.int64), templates)
+
+
+def fit(x: np.ndarray, y: np.ndarray, classes: int, training: Training) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a logistic regression whose classes weigh alike; soft thresholding keeps the weights few."""
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    target = np.eye(classes, dtype=np.float32)[y]
+    balance = (1.0 / np.maximum(1, np.bincount(y, minlength=classes)))[y]
+    weight = (balance / max(balance.sum(), 1e-12))[:, None].astype(np.float32)
     for _ in range(training.rounds):
-        z = fit @ w + b
+        z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         gap = (p / p.sum(axis=1, keepdims=True) - target) * weight
-        w -= training.rate * 20 * (fit.T @ gap)
+        w -= training.rate * 20 * (x.T @ gap)
         b -= training.rate * 20 * gap.sum(axis=0)
         w = np.sign(w) * np.maximum(np.abs(w) - training.rate * training.sparsity, 0)
-    z = x[held] @ w + b
-    heats = np.linspace(0.25, 4, 40)
-    losses = [-np.mean(np.log(np.maximum(1e-12, (e := np.exp((z - z.max(axis=1, keepdims=True)) * h))[np.arange(len(z)), y[held]] / e.sum(axis=1)))) if len(z) else 0.0 for h in heats]
-    heat = float(heats[int(np.argmin(losses))]) if len(z) else 1.0
-    weights = np.zeros((training.buckets, len(classes)), np.int64)
-    weights[seen] = np.rint(w * heat * ngrams.SCALE).astype(np.int64)
-    return Model(classes, weights, np.rint(b * heat * ngrams.SCALE).astype(np.int64), templates)
+    return w, b
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> float:
+    """The factor of the logits that makes the chances of held-out rows most likely, each class weighing alike."""
+    balance = (1.0 / np.maximum(1, np.bincount(y)))[y]
+
+    def loss(heat: float) -> float:
+        e = (z - z.max(axis=1, keepdims=True)) * heat
+        return float(-(balance * (e[np.arange(len(y)), y] - np.log(np.exp(e).sum(axis=1)))).sum())
+
+    return float(min(np.linspace(0.25, 4, 40), key=loss)) if len(y) else 1.0
 
 
 def scan(documents: DataFrame, model: Model, training: Training = Training()) -> DataFrame:
