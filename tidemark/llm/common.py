@@ -39,18 +39,44 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below the shared checkpoint folder.
+    """A fresh folder name below the shared checkpoint folder, remembered for ``sweep``.
 
     The cluster names that folder in ``spark.checkpoint.dir``; a temporary one
-    is set only where the setting is absent, as in tests on one machine.
+    is set only where the setting is absent and all runs on one machine, as in
+    tests.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    made_folders(spark).append(path)
+    return path
+
+
+def made_folders(spark: SparkSession) -> list[str]:
+    """The folders that operators named in this session's application, but for those they have dropped themselves."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_folders"):
+        context._tidemark_folders = []
+    return context._tidemark_folders
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders made from the ``since``-th on: the tables below results that have been read or written out."""
+    made = made_folders(spark)
+    for path in [p for p in made[since:] if p not in keep]:
+        delete(spark, path)
+        made.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,7 +86,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Intermediate tables in the shared folder, each dropped when its successor is there."""
+    """Intermediate tables in the shared folder, each dropped when its successor is there.
+
+    Those that a lazy result still reads stay until ``sweep``.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.held = spark, {}
@@ -76,8 +105,8 @@ class Tables:
     def drop(self, *names: str) -> None:
         for name in tuple(names):
             if path := self.held.pop(name, None):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                delete(self.spark, path)
+                made_folders(self.spark).remove(path)
 
 
 #: A key with over this share of all rows is heavy; there are fewer such keys than its inverse.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, ship
 
 WINDOW = 13
 #: Word bytes stay, A-Z is lowered, everything else becomes a space.
@@ -142,6 +142,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = WIND
 
 
 def _scanned(documents: DataFrame, benchmark: DataFrame, size: int, block_bytes: int, carried: list) -> DataFrame:
+    ship(documents.sparkSession)
     narrow = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     names = narrow.columns[2:]
     state = narrow.withColumn("_runs", F.lit(None).cast("array<bigint>")).withColumn("_items", F.lit(None).cast("array<string>"))

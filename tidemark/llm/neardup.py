@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Tables, attach, by_group, width
+from tidemark.llm.common import Tables, attach, by_group, ship, width
 from tidemark.llm.components import components
 
 SAMPLES = 256
@@ -270,6 +270,7 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Repeated rows share set and component. All columns but doc_id and text are
     ignored. An empty table gives an empty result.
     """
+    ship(documents.sparkSession)
     found = _placed(documents, rule, Tables(documents.sparkSession))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -326,19 +327,20 @@ def keep_one(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     with the same doc_id and set, the first in the order of text and then of
     the whole row as JSON stays.
     """
+    ship(documents.sparkSession)
     tables = Tables(documents.sparkSession)
     own = F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("keeper")))
     found = _placed(documents, rule, tables).where("doc_id IS NOT NULL").withColumn("own", own)
     best = F.struct(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
     ids = tables.put("ids", found.groupBy(F.col("doc_id").alias("_id")).agg(best.alias("_of")).select("_id", "_of.*").where("own"))
     single = ids.where("n = 1").select("_id")
-    key = F.col("doc_id").cast("bigint")
-    kept = documents.join(single, key == F.col("_id"), "left_semi").unionByName(documents.where("doc_id IS NULL"))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    kept = rows.join(single, "_id", "left_semi").unionByName(rows.where("_id IS NULL")).select("_row.*")
     several = ids.where("n > 1").select("_id")
     if several.isEmpty():
         return kept
-    rows = documents.join(several, key == F.col("_id"), "left_semi")
-    rows = _with_node(rows.select(key.alias("_id"), F.col("text").cast("string").alias("_text"), F.struct("*").alias("_row")), rule)
+    rows = rows.join(several, "_id", "left_semi")
+    rows = _with_node(rows.select("_id", F.col("_row.text").cast("string").alias("_text"), "_row"), rule)
     pairs = found.where("own").join(several, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_set")).distinct()
     rows = rows.join(pairs, (F.col("_id") == F.col("_doc")) & F.col("_node").eqNullSafe(F.col("_set")), "left_semi")
     rows = rows.groupBy("_id", "_node").agg(F.min_by("_row", F.struct("_text", F.to_json("_row"))).alias("_row"))

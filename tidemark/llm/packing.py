@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, numbered
+from tidemark.llm.common import cut, numbered, ship
 
 CAPACITY = 1024
 END_ID = 2
@@ -279,6 +279,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str
     document over the capacity is cut into pieces of exactly the capacity, but
     for its first.
     """
+    ship(documents.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -305,6 +306,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     packer and numbered in the order of doc_id and piece (nulls first), rows
     equal in all columns in any order. An empty table gives an empty result.
     """
+    ship(pieces.sparkSession)
     pieces = cut(pieces)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = make_plan(counts, capacity)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import numbered
+from tidemark.llm.common import numbered, ship
 
 #: The round function computes in a prime field whose products fit in 63 bits.
 PRIME = 2147483647
@@ -95,6 +95,7 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = 24, seed: int = 0,
     sort. An empty table gives an empty result. Columns of ``df`` named like the
     results are replaced.
     """
+    ship(df.sparkSession)
     kept = [c for c in (carry or df.columns) if c not in ("row_number", "shard", "slot")]
     named = df.select(*[F.col(f"`{c}`") for c in kept])
     rows, n = numbered(named, [F.col(f"`{c}`").asc_nulls_first() for c in order], "row_number")

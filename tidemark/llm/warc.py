@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, cut, shared_dir, width
+from tidemark.llm.common import attach, cut, shared_dir, ship, width
 
 VERSION = b"WARC/1.1"
 #: Runs are cut at so many captures, which bounds what one sort holds.
@@ -339,6 +339,7 @@ def archive_pages(pages: DataFrame, minimum: int = 0) -> DataFrame:
     names are gathered, as a table; payloads stay in the shared folder. The
     pages must be a stable scan, such as a written table.
     """
+    ship(pages.sparkSession)
     folder = _qualified(pages.sparkSession, shared_dir(pages.sparkSession))
     archives = write_archives(deduplicated(pages, minimum), folder)
     return merge_runs(cut(read_runs(archives, folder)))
