@@ -16,23 +16,29 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.cache.store import Store
-from tidemark.plans.dialect import Unsupported, to_spark
+from tidemark.cache.store import Snapshot, Store
+from tidemark.functions.rows import admitted
+from tidemark.plans.dialect import Unsupported, names, to_spark
 from tidemark.reason import analysis
 from tidemark.reason.parse import parse
 from tidemark.reason.ranges import Range
-from tidemark.reason.spec import Spec, Sub, Table
+from tidemark.reason.spec import Spec, Sub, Table, tables_renamed
+from tidemark.sources import arguments, run_over
 
 
 @dataclass(frozen=True)
 class Config:
-    """Size limit in bytes (None: none), policy (fifo or clock), admission threshold, allowed tables, and the least source rows per result row of a materialised result."""
+    """Size limit in bytes (None: none), policy (fifo or clock), admission threshold, allowed tables, the least source rows per result
+    row of a materialised result, after how many new queries the hits of those not yet admitted are halved, and the schemas in which
+    unqualified names are looked for."""
 
     cache_size: int | None = None
     policy: str = "clock"
     admission_threshold: int = 1
     allowed_tables: frozenset[str] | None = None
     mv_size_ratio: int = 10
+    decay_every: int = 1000
+    search_path: tuple[str, ...] = ()
 
 
 class State(Enum):
@@ -52,6 +58,7 @@ class Metrics:
     populations: int = 0
     materialised: int = 0
     bypassed: int = 0
+    failures: int = 0
     latency: list[float] = field(default_factory=list)
 
     def percentile(self, share: float) -> float:
@@ -67,10 +74,12 @@ class Entry:
     fingerprint: str
     generation: int
     state: State = State.PENDING
-    rows: dict[str, DataFrame] = field(default_factory=dict)
-    paths: dict[str, str] = field(default_factory=dict)
+    kept: dict[str, Snapshot] = field(default_factory=dict)
+    borrowed: bool = False
     held: int | None = None
     hits: int = 0
+    served: int = 0
+    seconds: float = 0.0
     referenced: bool = False
     pinned: bool = False
     result: DataFrame | None = None
@@ -79,6 +88,10 @@ class Entry:
     result_refused: bool = False
     done: threading.Event = field(default_factory=threading.Event)
 
+    @property
+    def rows(self) -> dict[str, DataFrame]:
+        return {name: snapshot.frame for name, snapshot in self.kept.items()}
+
 
 class Engine:
     """A cache over base tables with known primary keys."""
@@ -86,6 +99,9 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, list[str]], config: Config = Config()):
         self.spark, self.base, self.keys, self.config = spark, dict(tables), keys, config
         self.store, self.entries, self.metrics = Store(spark), {}, Metrics()
+        self.versions = {name: Snapshot(self.store, tuple(keys.get(name, [])), frame) for name, frame in tables.items()}
+        self._plain: dict[str, dict[str, Entry]] = {}
+        self._admitted = 0
         self.applied: dict[str, int] = {}
         self.connected = True
         self._generation = 0
@@ -96,10 +112,15 @@ class Engine:
     def query(self, spec: Spec) -> DataFrame:
         """The result of a query, from the cache where it may come from there."""
         began = time.monotonic()
+        spec = self._resolved(spec)
         try:
             return self._query(spec)
         finally:
-            self.metrics.latency.append(time.monotonic() - began)
+            passed = time.monotonic() - began
+            self.metrics.latency.append(passed)
+            if entry := self.entries.get(analysis.fingerprint(spec)):
+                entry.served += 1
+                entry.seconds += passed
 
     def sql(self, text: str, params: list | None = None) -> DataFrame:
         """The result of a SELECT in PostgreSQL's spelling; what a spec can't hold runs on the base tables."""
@@ -107,12 +128,17 @@ class Engine:
             spec = parse(text, params)
         except Unsupported:
             self.metrics.bypassed += 1
-            for name, frame in self.base.items():
-                frame.createOrReplaceTempView(name)
-            args = {f"p{i}": v for i, v in enumerate(params or [], 1)}
-            return self.spark.sql(to_spark(text), args=args) if args else self.spark.sql(to_spark(text))
+            frames = {n: f for n in names(text) if (f := self.base.get(self._table(n))) is not None}
+            return self._text(text, frames, arguments(params))
         return self.query(spec)
 
+    def _table(self, name: str) -> str:
+        """The base table that a name means: itself, or the first on the search path."""
+        return next((full for full in (*[f"{schema}__{name}" for schema in self.config.search_path], name) if full in self.base), name)
+
+    def _resolved(self, spec: Spec) -> Spec:
+        return tables_renamed(spec, self._table) if self.config.search_path else spec
+
     def _query(self, spec: Spec) -> DataFrame:
         if not self.connected or not self._allowed(spec) or analysis.uncacheable(spec):
             self.metrics.bypassed += 1
@@ -137,11 +163,13 @@ class Engine:
         try:
             self._load(entry, spec)
         except Exception:
+            # A load that fails leaves nothing behind, and the base tables answer; an error of the query itself comes up again there.
+            self.metrics.failures += 1
             with self._lock:
                 self._remove(entry)
-            raise
-        finally:
             entry.done.set()
+            return self._run(spec, self.base)
+        entry.done.set()
         return self._serve(entry, spec)
 
     def _admit(self, spec: Spec, print_: str, entry: Entry | None) -> Entry | None:
@@ -149,6 +177,12 @@ class Engine:
         if entry is None:
             self._generation += 1
             entry = self.entries[print_] = Entry(spec, print_, self._generation)
+            self._admitted += 1
+            if self._admitted % max(1, self.config.decay_every) == 0:
+                for waiting in [e for e in self.entries.values() if e.state is State.PENDING and e is not entry]:
+                    waiting.hits //= 2
+                    if not waiting.hits:
+                        del self.entries[waiting.fingerprint]
         entry.hits += 1
         if entry.state is State.PENDING and self.config.policy == "clock" and entry.hits < self.config.admission_threshold:
             return None
@@ -161,85 +195,98 @@ class Engine:
         return allowed is None or all(t in allowed or t.rpartition("_")[2] in allowed for t in spec.relations())
 
     def _run(self, spec: Spec, frames: dict[str, DataFrame], limited: bool = True) -> DataFrame:
-        for name in spec.relations():
-            frames[name].createOrReplaceTempView(name)
-        return self.spark.sql(to_spark(spec.sql(limited)))
+        return self._text(spec.sql(limited), {name: frames[name] for name in spec.relations()})
 
-    def _sql(self, text: str, frames: dict[str, DataFrame]) -> DataFrame:
-        for name, frame in frames.items():
-            frame.createOrReplaceTempView(name)
-        return self.spark.sql(to_spark(text))
+    def _text(self, text: str, frames: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
+        """One SELECT in PostgreSQL's spelling over the named frames."""
+        run = lambda spark_sql: run_over(self.spark, frames, spark_sql, args)
+        return run(to_spark(text, run))
 
     # loading
 
     def _load(self, entry: Entry, spec: Spec) -> None:
-        need = analysis.row_need(spec)
-        covering = self._covering(spec) if entry.held is None and not entry.rows else None
+        need = analysis.row_need(spec) if all(self.keys.get(name) for name in spec.relations()) else None
+        covering = self._covering(spec) if entry.held is None and not entry.kept else None
         if covering:
             self.metrics.subsumed += 1
-            rows, paths = {name: e.rows[name] for name, e in covering.items()}, {}
+            kept = {name: e.kept[name] for name, e in covering.items()}
         else:
             self.metrics.misses += 1
             self.metrics.populations += 1
-            rows, paths = self._populate(spec, need)
+            kept = self._populate(spec, need)
         with self._lock:
-            old = list(entry.paths.values())
-            entry.spec, entry.rows, entry.paths = spec, rows, paths
+            old = [] if entry.borrowed else list(entry.kept.values())
+            entry.spec, entry.kept, entry.borrowed = spec, kept, bool(covering)
             entry.held = None if covering else need
             entry.state, entry.result_fresh = State.READY, False
-        for path in old:
-            self._forget(path)
+            plain = entry.held is None and not (spec.joins or spec.union or spec.inner())
+            if plain and not covering:
+                self._plain.setdefault(spec.table.name, {})[entry.fingerprint] = entry
+        for snapshot in old:
+            self._forget(snapshot)
         self._evict(entry)
 
-    def _populate(self, spec: Spec, need: int | None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    def _populate(self, spec: Spec, need: int | None) -> dict[str, Snapshot]:
         """The rows that each table gives to each branch, once per key and without the padding of outer joins.
 
         A limited window is taken in the query's own order. Inner branches drop
-        conditions on tables of the outer query.
+        conditions on tables of the outer query. Rows of a table without a key
+        can't be told apart, so all that its own conditions admit are kept, as
+        often as they occur.
         """
         parts: dict[str, list[DataFrame]] = {}
         for branch in spec.branches():
             own = tuple(c for c in branch.where if not self._outer(c, branch))
             kept = branch if branch.table is spec.table and len(own) == len(branch.where) else replace(branch, where=own)
             for t in branch.tables():
+                if t.query or not self.keys.get(t.name):
+                    continue
                 text = f"SELECT DISTINCT {t.label}.* FROM {kept.source()}{kept.filter()}"
                 if need is not None:
                     order = ", ".join(f"{c} DESC" if falling else c for c, falling in spec.order) or ", ".join(self.keys[t.name])
                     text = f"SELECT {t.label}.* FROM {kept.source()}{kept.filter()} ORDER BY {order} LIMIT {need}"
-                found = self._sql(text, {name: self.base[name] for name in kept.relations()})
-                if self.keys.get(t.name) and branch.joins:
+                found = self._text(text, {name: self.base[name] for name in kept.relations()})
+                if branch.joins:
                     found = found.where(" AND ".join(f"{k} IS NOT NULL" for k in self.keys[t.name]))
                 parts.setdefault(t.name, []).append(found)
-        rows, paths = {}, {}
+        out = {}
         for name, found in parts.items():
             frame = found[0]
             for more in found[1:]:
                 frame = frame.unionByName(more)
-            if len(found) > 1:
-                frame = frame.distinct()
-            rows[name], paths[name] = self.store.put(frame)
-        return rows, paths
+            out[name] = Snapshot.of(self.store, self.keys[name], frame.distinct() if len(found) > 1 else frame)
+        for name in spec.relations() - set(parts):
+            out[name] = Snapshot.of(self.store, [], self.base[name].where(admitted(spec, name, self.base[name].columns)))
+        return out
 
     def _outer(self, condition, branch: Spec) -> bool:
         """Whether a condition names a column of a table outside the branch."""
         if isinstance(condition, Sub):
             return False
         labels = {t.label for t in branch.tables()}
-        known = {c for t in branch.tables() for c in self.base[t.name].columns}
+        known = {c for t in branch.tables() for c in self._columns(t)}
         named = [c for c in (getattr(condition, a, "") or "" for a in ("column", "left", "right")) if c]
         return any(c.partition(".")[0] not in labels if "." in c else c not in known for c in named)
 
+    def _columns(self, table: Table) -> list[str]:
+        if not table.query:
+            return self.base[table.name].columns
+        out: list[str] = []
+        for item in table.query.items:
+            owner, _, name = item.text.rpartition(".")
+            out += [c for t in table.query.tables() if owner in ("", t.label) for c in self._columns(t)] if name == "*" else [item.name]
+        return [*table.columns, *out[len(table.columns) :]]
+
     def _covering(self, spec: Spec) -> dict[str, Entry] | None:
         """For each table a ready, unlimited one-table query that holds all rows wanted of it."""
-        if spec.union or any(isinstance(c, Sub) for c in spec.where) or any(j.kind not in ("inner", "cross") for j in spec.joins):
+        if spec.union or spec.inner() or any(j.kind not in ("inner", "cross") for j in spec.joins):
             return None
         wanted, out = analysis.constraints(spec), {}
         if len({t.name for t in spec.tables()}) != len(spec.tables()):
             return None
         for t in spec.tables():
-            for e in self.entries.values():
-                plain = e.state is State.READY and e.held is None and not e.spec.joins and not e.spec.union and e.spec.table.name == t.name
-                if not plain or any(isinstance(c, Sub) for c in e.spec.where) or t.name not in e.rows:
+            for e in list(self._plain.get(t.name, {}).values()):
+                if e.state is not State.READY or e.borrowed or t.name not in e.kept:
                     continue
                 held = analysis.constraints(e.spec)
                 if analysis.table_covered(held.of(e.spec.table.label), held.complete, self._own(wanted.of(t.label), t)):
@@ -273,10 +320,10 @@ class Engine:
     def _materialise(self, entry: Entry, spec: Spec, kind: str) -> None:
         """Write the whole result to a new snapshot and point the entry to it, if its shape or size is worth it."""
         bare = replace(spec, order=(), limit=None, offset=None)
-        result, path = self.store.put(self._run(bare, entry.rows))
+        result, path, rows = self.store.counted(self._run(bare, entry.rows))
         if kind == "measure":
-            sources = sum(frame.count() for frame in entry.rows.values())
-            if result.count() * self.config.mv_size_ratio > sources:
+            sources = sum(snapshot.rows or 0 for snapshot in entry.kept.values())
+            if rows * self.config.mv_size_ratio > sources:
                 self.store.drop(path)
                 entry.result_refused, entry.result = True, None
                 return
@@ -306,16 +353,40 @@ class Engine:
         else:
             self._remove(entry)
 
-    def _forget(self, path: str) -> None:
-        if not any(path in e.paths.values() for e in self.entries.values()):
-            self.store.drop(path)
+    def _forget(self, snapshot: Snapshot) -> None:
+        if not any(snapshot is s for e in self.entries.values() for s in e.kept.values()):
+            snapshot.drop()
 
     def _remove(self, entry: Entry) -> None:
+        """Take an entry out, with those that live on its rows, and drop its files."""
         self.entries.pop(entry.fingerprint, None)
+        for plain in self._plain.values():
+            plain.pop(entry.fingerprint, None)
         entry.state = State.INVALIDATED
+        if not entry.borrowed:
+            for user in [e for e in self.entries.values() if e.borrowed and any(s is own for s in e.kept.values() for own in entry.kept.values())]:
+                self._remove(user)
+            for snapshot in entry.kept.values():
+                snapshot.drop()
+        if entry.result_path:
+            self.store.drop(entry.result_path)
+            entry.result_path = entry.result = None
+
+    def alter_table(self, name: str, frame: DataFrame, key: list[str] | None = None) -> None:
+        """Another schema, or other rows, for a base table: whatever was cached from it goes, pinned queries load again."""
+        with self._lock:
+            self.base[name], self.keys[name] = frame, self.keys.get(name, []) if key is None else key
+            self.versions[name] = Snapshot(self.store, tuple(self.keys[name]), frame)
+            for entry in [e for e in self.entries.values() if name in e.spec.relations()]:
+                if entry.fingerprint in self.entries:
+                    self._remove(entry)
+                    self.metrics.invalidations += 1
+                    if entry.pinned:
+                        self.pin(entry.spec)
 
     def size(self) -> int:
-        return sum(self.store.size(p) for e in self.entries.values() for p in e.paths.values())
+        results = sum(self.store.size(e.result_path) for e in self.entries.values() if e.result_path)
+        return results + sum(s.size() for e in self.entries.values() if not e.borrowed for s in e.kept.values())
 
     def _evict(self, fresh: Entry) -> None:
         """Oldest first while over the size limit; the clock gives referenced entries a second turn, five a round."""
@@ -323,7 +394,7 @@ class Engine:
             return
         spared = 0
         while self.size() > self.config.cache_size:
-            order = sorted((e for e in self.entries.values() if e is not fresh and e.paths), key=lambda e: e.generation)
+            order = sorted((e for e in self.entries.values() if e is not fresh and e.kept and not e.borrowed), key=lambda e: e.generation)
             victim = next((e for e in order if not e.pinned), None)
             if victim is None:
                 return
@@ -334,11 +405,6 @@ class Engine:
                 continue
             self._remove(victim)
             self.metrics.evictions += 1
-            users = [e for e in self.entries.values() if not e.paths and any(e.rows.get(n) is victim.rows[n] for n in victim.rows)]
-            for e in users:
-                self._remove(e)
-            for path in victim.paths.values():
-                self.store.drop(path)
 
     def configure(self, **changes) -> None:
         """Change settings while running."""
@@ -346,5 +412,9 @@ class Engine:
 
     def status(self) -> DataFrame:
         """One row per cached query."""
-        rows = [(e.fingerprint, e.state.value, e.hits, e.generation, e.pinned, e.held, e.result_fresh) for e in self.entries.values()]
-        return self.spark.createDataFrame(rows, "fingerprint string, state string, hits int, generation int, pinned boolean, held int, result_fresh boolean")
+        rows = [
+            (e.fingerprint, e.state.value, e.hits, e.generation, e.pinned, e.held, e.result_fresh, e.served, e.seconds / e.served if e.served else None, sum(s.rows or 0 for s in e.kept.values()), analysis.complexity(e.spec))
+            for e in self.entries.values()
+        ]
+        names = "fingerprint string, state string, hits int, generation int, pinned boolean, held int, result_fresh boolean"
+        return self.spark.createDataFrame(rows, f"{names}, served int, mean_seconds double, rows long, complexity int")

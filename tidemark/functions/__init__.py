@@ -1,0 +1 @@
+"""Predicates as column expressions."""

@@ -1,0 +1 @@
+"""Operators on frames that Spark has no word for."""

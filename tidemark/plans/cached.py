@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
 
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.cache.engine import Config, Engine
 from tidemark.reason.spec import Between, Compare, In, Item, Join, Same, Spec, Sub, Table
-from tidemark.sources import TABLES, table
-from tidemark.streaming.changes import apply_changes, latest_per_key
+from tidemark.sources import TABLES, shared_root, table
+from tidemark.streaming.changes import apply_changes, follow, latest_per_key
 
 KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"], "events": ["event_id"], "lineitem": []}
 
@@ -115,6 +114,68 @@ def _after(spec: Spec, batch: Callable[[DataFrame], DataFrame], spark: SparkSess
     return kept.query(spec)
 
 
+def _text_twice(text: str, spark: SparkSession, base: str) -> DataFrame:
+    kept = engine(spark, base)
+    kept.sql(text)
+    out = kept.sql(text)
+    _expect(kept, hits=1)
+    return out
+
+
+def _text_after(text: str, batch: Callable[[DataFrame], DataFrame], spark: SparkSession, base: str) -> DataFrame:
+    kept = engine(spark, base)
+    kept.sql(text)
+    apply_changes(kept, "orders", batch(changes(spark, base)))
+    out = kept.sql(text)
+    if kept.metrics.bypassed:
+        raise AssertionError("answered without the cache")
+    return out
+
+
+def cdc_keyless(spark: SparkSession, base: str) -> DataFrame:
+    """A table without a key after inserts and deletes of whole rows."""
+    kept = engine(spark, base)
+    kept.query(_KEYLESS)
+    lines = table(spark, base, "lineitem")
+    gone = lines.where("l_orderkey % 7 = 0").select(F.lit("D").alias("op"), F.lit(1).cast("bigint").alias("lsn"), *lines.columns)
+    twice = lines.where("l_orderkey % 7 = 1").select(F.lit("I").alias("op"), F.lit(2).cast("bigint").alias("lsn"), *lines.columns)
+    apply_changes(kept, "lineitem", gone.unionByName(twice))
+    return kept.query(_KEYLESS)
+
+
+def cdc_unchanged(spark: SparkSession, base: str) -> DataFrame:
+    """Updates that leave out columns that didn't change."""
+    kept = engine(spark, base)
+    kept.query(_RANGE)
+    orders = table(spark, base, "orders")
+    sent = ["o_orderkey", "o_totalprice"]
+    rows = orders.where("o_orderkey % 5 = 0").select(F.lit("U").alias("op"), F.lit(1).cast("bigint").alias("lsn"), *[F.col(c) if c == "o_orderkey" else (F.col(c) + 50000).alias(c) if c in sent else F.lit(None).cast(t).alias(c) for c, t in orders.dtypes])
+    apply_changes(kept, "orders", rows.withColumn("unchanged", F.array(*[F.lit(c) for c in orders.columns if c not in sent])))
+    return kept.query(_RANGE)
+
+
+def cdc_schema_change(spark: SparkSession, base: str) -> DataFrame:
+    """A base table with another schema: what was cached from it goes, and answers come from the new rows."""
+    kept = engine(spark, base)
+    kept.query(_RANGE)
+    kept.alter_table("orders", table(spark, base, "orders").withColumn("o_totalprice", F.col("o_totalprice") / 2).withColumn("o_extra", F.lit(1)))
+    return kept.query(_RANGE)
+
+
+def cdc_transactions(spark: SparkSession, base: str) -> DataFrame:
+    """Of two transactions in a changelog only the one whose end has come is applied."""
+    kept = engine(spark, base)
+    kept.query(_RANGE)
+    orders = table(spark, base, "orders")
+    log = orders.where("o_orderkey % 3 = 0").select(F.lit("D").alias("op"), "o_orderkey", F.lit("orders").alias("table"), F.to_json(F.struct(*orders.columns)).alias("row"), (F.col("o_orderkey") % 2).alias("txn"))
+    ends = spark.createDataFrame([("C", 0)], "op string, txn bigint").select("op", F.lit(0).cast("bigint").alias("o_orderkey"), F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("row"), "txn")
+    log = log.unionByName(ends).withColumn("lsn", F.lit(9).cast("bigint")).withColumn("key", F.lit(None).cast("string")).drop("o_orderkey")
+    source = shared_root(spark, "log")
+    log.write.parquet(source)
+    follow(kept, spark.readStream.schema(log.schema).parquet(source), shared_root(spark, "stream")).awaitTermination()
+    return kept.query(_RANGE)
+
+
 def _only(op: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.where(F.col("op") == op)
 
@@ -131,10 +192,7 @@ def _all(df: DataFrame) -> DataFrame:
 def cdc_stream_events(spark: SparkSession, base: str) -> DataFrame:
     """Last event per user, over a stream of the events table."""
     events = table(spark, base, "events")
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-stream-")
-    from uuid import uuid4
-
-    return latest_per_key(spark, f"{base}/events.parque*", events.schema, "user_id", ["ts", "event_id"], f"{root}/stream-{uuid4().hex}").select("user_id", "event_id", "event_type")
+    return latest_per_key(spark, f"{base}/events.parque*", events.schema, "user_id", ["ts", "event_id"], shared_root(spark, "stream")).select("user_id", "event_id", "event_type")
 
 
 _EQ = _with(ORDERS, where=(Compare("o_orderstatus", "=", "F"), Compare("o_orderpriority", "=", "1-URGENT")))
@@ -144,6 +202,21 @@ _POINT = _with(ORDERS, where=(Compare("o_orderstatus", "=", "O"), Between("o_tot
 _HELD_C = Spec(Table("customer"), where=(Compare("c_mktsegment", "=", "BUILDING"),))
 _HELD_O = Spec(Table("orders"), where=(Compare("o_totalprice", ">=", 300000),))
 
+_KEYLESS = Spec(Table("lineitem"), where=(Compare("l_quantity", ">", 30),), items=(Item("l_returnflag"), COUNT, Item("round(sum(l_quantity), 2)", "qty", "aggregate")), group=("l_returnflag",))
+_KEYLESS_JOIN = Spec(
+    Table("lineitem"), (Join("inner", Table("orders"), (Same("lineitem.l_orderkey", "orders.o_orderkey"),)),), (Compare("orders.o_totalprice", ">", 300000),),
+    (Item("orders.o_orderstatus"), COUNT), group=("orders.o_orderstatus",),
+)
+_KEYLESS_TOP = Spec(Table("lineitem"), items=tuple(Item(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), order=tuple((c, False) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), limit=5)
+TEXTS = {
+    "cte": "WITH big AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000) SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM big GROUP BY o_custkey",
+    "cte_chain": "WITH a(k, total) AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'), b AS MATERIALIZED (SELECT k, max(total) AS top FROM a GROUP BY k) SELECT k, top FROM b WHERE top > 400000",
+    "cte_join": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 250000 GROUP BY o_custkey) SELECT c.c_custkey, c.c_name, big.n FROM customer AS c JOIN big ON c.c_custkey = big.o_custkey WHERE c.c_acctbal > 1000",
+    "derived": "SELECT t.k, t.n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) AS t WHERE t.n > 12",
+    "scalar_select": "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer WHERE c_acctbal > 5000",
+    "setop_chain_join": "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000 UNION SELECT o.o_custkey FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 440000",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_hit_same": partial(_twice, _FLAGSHIP),
     "cache_agg_over_rows": partial(_twice, _GROUP),
@@ -175,6 +248,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cdc_mv_groupby": partial(_after, _GROUP, _all),
     "cdc_setop": partial(_after, _SETOP, _all),
     "cdc_stream_events": cdc_stream_events,
+    "cache_keyless_count": partial(_twice, _KEYLESS),
+    "cache_keyless_join": partial(_twice, _KEYLESS_JOIN),
+    "cache_keyless_limit": partial(_twice, _KEYLESS_TOP),
+    "cdc_keyless_join": partial(_after, _KEYLESS_JOIN, _all),
+    **{f"cache_{name}": partial(_text_twice, text) for name, text in TEXTS.items()},
+    **{f"cdc_{name}": partial(_text_after, text, _all) for name, text in TEXTS.items()},
+    "cdc_setop_chain_insert": partial(_text_after, TEXTS["setop_chain_join"], _only("I")),
+    "cdc_keyless": cdc_keyless,
+    "cdc_unchanged": cdc_unchanged,
+    "cdc_schema_change": cdc_schema_change,
+    "cdc_transactions": cdc_transactions,
 }
 
 _PARTS = {
@@ -187,4 +271,20 @@ _PARTS = {
 ORACLE_SQL: dict[str, str] = {name: q.args[-1].sql() for name, q in QUERIES.items() if isinstance(q, partial) and q.func in (_twice, _subsumed)}
 ORACLE_SQL |= {"cache_limit_window": _with(_TOP, limit=10, offset=5).sql(), "cache_limit_bump": _with(_TOP, limit=60).sql()}
 ORACLE_SQL |= {name: f"WITH {_PARTS.get(name, AFTER)} {q.args[0].sql()}" for name, q in QUERIES.items() if isinstance(q, partial) and q.func is _after}
+ORACLE_SQL |= {name: ORACLE_SQL[name].replace("count(*) / 200", "count(*) // 200") for name in ("cache_scalar", "cdc_scalar")}
 ORACLE_SQL["cdc_stream_events"] = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def _with_tables(tables: str, text: str) -> str:
+    return f"WITH {tables}, {text[5:]}" if text.startswith("WITH ") else f"WITH {tables} {text}"
+
+
+ORACLE_SQL |= {f"cache_{name}": text for name, text in TEXTS.items()}
+ORACLE_SQL |= {f"cdc_{name}": _with_tables(AFTER, text) for name, text in TEXTS.items()}
+ORACLE_SQL |= {
+    "cdc_setop_chain_insert": _with_tables(_PARTS["cdc_insert"], TEXTS["setop_chain_join"]),
+    "cdc_keyless": f"WITH lineitem AS (SELECT * FROM main.lineitem WHERE l_orderkey % 7 <> 0 UNION ALL SELECT * FROM main.lineitem WHERE l_orderkey % 7 = 1) {_KEYLESS.sql()}",
+    "cdc_unchanged": f"WITH orders AS (SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 50000 ELSE o_totalprice END AS o_totalprice) FROM main.orders) {_RANGE.sql()}",
+    "cdc_schema_change": f"WITH orders AS (SELECT * REPLACE (o_totalprice / 2 AS o_totalprice) FROM main.orders) {_RANGE.sql()}",
+    "cdc_transactions": f"WITH orders AS (SELECT * FROM main.orders WHERE o_orderkey % 6 <> 0) {_RANGE.sql()}",
+}

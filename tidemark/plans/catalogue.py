@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import cached
-from tidemark.plans.dialect import to_spark
-from tidemark.sources import views
+from tidemark.plans.dialect import names, to_spark
+from tidemark.sources import TABLES, arguments, run_over, table
 
 _N = "(SELECT c_custkey, nullif(c_nationkey, 3) AS nk, c_acctbal, c_mktsegment FROM customer)"
 _BIG = "o_orderstatus = 'F' AND o_totalprice > 400000"
@@ -136,6 +136,19 @@ SQL: dict[str, str] = {
     "pushdown_union": "SELECT k FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) AS t WHERE k > 3",
     "pushdown_group": "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) AS t WHERE k = 7",
     "constfold": "SELECT n_nationkey FROM nation WHERE n_nationkey = 12345 % 10000 - 2340",
+    "expr_intdiv": "SELECT p_partkey, p_size / 4 AS q, -p_size / 4 AS neg, (p_size + 1) / 2 * 3 AS c, round(p_retailprice / 4, 4) AS f FROM part WHERE p_size / 2 > 3",
+    "filter_distinct_from": f"SELECT c_custkey FROM {_N} AS t WHERE nk IS NOT DISTINCT FROM 5 OR (nk IS DISTINCT FROM 7 AND c_acctbal < 0)",
+    "filter_case": "SELECT p_partkey FROM part WHERE CASE WHEN p_size > 25 THEN true ELSE p_retailprice < 1000 END",
+    "fn_math": "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_size), 6) AS s, floor(p_retailprice)::int8 AS f, ceil(p_retailprice)::int8 AS c, mod(p_size, 7) AS m FROM part",
+    "sub_any_less": "SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_custkey < 5)",
+    "sub_all_greater": "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_custkey < 4)",
+    "sub_all_empty": "SELECT s_suppkey FROM supplier WHERE s_acctbal >= ALL (SELECT c_acctbal FROM customer WHERE c_custkey < 0)",
+    "sub_any_null": "SELECT n_nationkey FROM nation WHERE NOT (n_nationkey > ANY (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_suppkey < 4))",
+    "agg_array_desc": "SELECT n_regionkey, array_agg(n_name ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey",
+    "agg_array_keys": "SELECT c_nationkey, array_agg(c_custkey ORDER BY c_mktsegment DESC, c_custkey) AS keys FROM customer GROUP BY c_nationkey",
+    "agg_array_distinct": "SELECT c_nationkey, array_agg(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS segments FROM customer GROUP BY c_nationkey",
+    "corr_exists_empty_list": f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT FROM orders WHERE o_custkey = c_custkey AND {_BIG})",
+    "setop_chain": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 UNION SELECT c_custkey FROM customer WHERE c_custkey < 90 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
     "contradiction": "SELECT n_nationkey FROM nation WHERE n_nationkey = 5 AND n_nationkey = 6",
 }
 
@@ -145,6 +158,8 @@ DUCKDB: dict[str, str] = {
     "filter_not_between_symmetric": SQL["filter_not_between"],
     "filter_bool_tests": f"SELECT c_custkey FROM {_N} AS t WHERE coalesce(nk > 10, true)",
     "filter_bool_false": f"SELECT c_custkey FROM {_N} AS t WHERE coalesce(nk > 10, true) AND (nk > 3) IS NOT NULL AND NOT coalesce(c_acctbal > 0, false)",
+    "expr_intdiv": "SELECT p_partkey, CAST(p_size // 4 AS BIGINT) AS q, CAST(-p_size // 4 AS BIGINT) AS neg, CAST((p_size + 1) // 2 * 3 AS BIGINT) AS c, round(p_retailprice / 4, 4) AS f FROM part WHERE p_size // 2 > 3",
+    "corr_exists_empty_list": SQL["corr_exists"],
     "nulls_order": SQL["nulls_order"].replace("nk DESC", "nk DESC NULLS FIRST"),
     "nulls_order_rising": SQL["nulls_order_rising"].replace("ORDER BY nk,", "ORDER BY nk NULLS LAST,"),
 }
@@ -152,9 +167,10 @@ DUCKDB: dict[str, str] = {
 
 def run_sql(spark: SparkSession, base: str, sql: str, params: list | None = None) -> DataFrame:
     """One PostgreSQL SELECT over a dataset folder, with ``$n`` parameters."""
-    views(spark, base)
-    args = {f"p{i}": v for i, v in enumerate(params or [], 1)}
-    return spark.sql(to_spark(sql), args=args) if args else spark.sql(to_spark(sql))
+    used = names(sql)
+    frames, args = {name: table(spark, base, name) for name in TABLES if name in used}, arguments(params)
+    run = lambda text: run_over(spark, frames, text, args)
+    return run(to_spark(sql, run))
 
 
 def _relational(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -172,9 +188,14 @@ def expr_arith_intdiv(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _relational(sql) for name, sql in SQL.items()}
-QUERIES |= {"params_bind": params_bind, "expr_arith_intdiv": expr_arith_intdiv}
+def params_array(spark: SparkSession, base: str) -> DataFrame:
+    return run_sql(spark, base, "SELECT p_partkey FROM part WHERE p_size = ANY ($1) AND p_brand <> ALL ($2)", [[2, 4, 6], ["Brand#11", "Brand#12"]])
+
+
+QUERIES |= {"params_array": params_array, "params_bind": params_bind, "expr_arith_intdiv": expr_arith_intdiv}
 ORACLE_SQL: dict[str, str] = {**SQL, **DUCKDB}
 ORACLE_SQL |= {
+    "params_array": "SELECT p_partkey FROM part WHERE p_size IN (2, 4, 6) AND p_brand NOT IN ('Brand#11', 'Brand#12')",
     "params_bind": "SELECT p_partkey FROM part WHERE p_size = 7 AND p_brand <> 'Brand#11'",
     "expr_arith_intdiv": "SELECT p_partkey, CAST(trunc(p_size / 4) AS BIGINT) AS q, CAST(trunc(-p_size / 4) AS BIGINT) AS neg, -p_size % 4 AS r FROM part",
 }

@@ -1,70 +1,28 @@
 """Ordered change batches applied to base tables and to everything cached from them.
 
 A batch has ``op`` (I, U, D, T), ``lsn``, the table's columns and, for updates
-that move a key, the key's former values as ``old_<key>``. A batch is reduced to
-the last event of each key before it is applied, and events at or before the
-last applied position are skipped, so a batch may safely come twice.
+that move a key, the key's former values as ``old_<key>``; ``unchanged`` may name
+columns that an update didn't send. A batch is reduced to the last event of each
+key before it is applied, and events at or before the last applied position are
+skipped, so a batch may safely come twice. Applying one writes the net changes
+beside the rows, not the rows anew.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.cache.engine import Engine, Entry, State
+from tidemark.cache.store import Snapshot, Store
+from tidemark.functions.rows import admits, admitted
+from tidemark.operators.changes import changed_columns, completed, net_changes, without_key
 from tidemark.reason import analysis
 from tidemark.reason.analysis import Source, Use
-from tidemark.reason.ranges import Range
 from tidemark.reason.spec import Same
 
 
-def net_changes(batch: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """The last event of each key: op (I, U or D), lsn and the columns; a moved key's old value is a delete of it."""
-    kept = ["op", "lsn", *columns]
-    events = batch.where("op <> 'T'").select(*kept)
-    if all(f"old_{k}" in batch.columns for k in key):
-        moved = batch.where(" OR ".join(f"(old_{k} IS NOT NULL AND old_{k} <> {k})" for k in key))
-        former = [F.coalesce(f"old_{c}", c).alias(c) if c in key else F.col(c) for c in columns]
-        events = events.unionByName(moved.select(F.lit("D").alias("op"), "lsn", *former))
-    last = F.max_by(F.struct(*kept), F.struct("lsn", (F.col("op") != "D").cast("int")))
-    return events.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(last.alias("e")).select("e.*")
-
-
-def upsert(rows: DataFrame, net: DataFrame, key: list[str], admitted: Column | None = None) -> DataFrame:
-    """Rows without the changed keys, and the changed rows that are admitted."""
-    fresh = net.where("op <> 'D'").select(*rows.columns)
-    return rows.join(net.select(*key), key, "left_anti").select(*rows.columns).unionByName(fresh if admitted is None else fresh.where(admitted))
-
-
-def changed_columns(before: DataFrame, net: DataFrame, key: list[str]) -> DataFrame:
-    """Changed keys that are held, with the names of the columns whose values differ, nulls being alike."""
-    rest = [c for c in before.columns if c not in key]
-    old = before.select(*key, F.struct(*rest, F.lit(0).alias("_")).alias("_old"))
-    differs = [F.when(~F.col(f"_old.{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in rest]
-    return net.join(old, key).withColumn("changed", F.array_compact(F.array(*differs, F.lit(None).cast("string"))))
-
-
-def admits(ranges: dict[str, Range]) -> Column:
-    """A row's columns lie in the ranges; null lies in none."""
-    out = F.lit(True)
-    for column, r in ranges.items():
-        c = F.col(column)
-        if r.free:
-            continue
-        out = out & c.isNotNull()
-        if r.values is not None:
-            out = out & (c.isin(*r.values) if r.values else F.lit(False))
-        for bound, low in ((r.low, True), (r.high, False)):
-            if bound:
-                out = out & ((c >= bound[0] if bound[1] else c > bound[0]) if low else (c <= bound[0] if bound[1] else c < bound[0]))
-        if r.excluded:
-            out = out & ~c.isin(*r.excluded)
-    return F.coalesce(out, F.lit(False))
-
-
 def _some(df: DataFrame) -> bool:
     return not df.isEmpty()
 
@@ -72,13 +30,13 @@ def _some(df: DataFrame) -> bool:
 def must_invalidate(entry: Entry, use: Use, net: DataFrame, columns: list[str], key: list[str]) -> bool:
     """The invalidation matrix: what a change to this use of a table does to the query."""
     ranges = {c: r for c, r in analysis.constraints(use.branch).of(use.label).items() if c in columns}
-    held = entry.rows[use.table]
+    held = entry.kept[use.table].frame
     deletes = net.where("op = 'D'")
     relevant = net.where("op <> 'D'").where(admits(ranges))
     touched = net.join(held.select(*key), key, "left_semi")
     if entry.held is not None and (_some(relevant) or _some(touched)):
         return True
-    simple = not use.branch.joins
+    simple = not use.branch.joins and not use.branch.derived
     match use.source:
         case Source.TERMINAL:
             return False
@@ -91,7 +49,7 @@ def must_invalidate(entry: Entry, use: Use, net: DataFrame, columns: list[str],
         case Source.INCLUSION:
             return _some(relevant)
         case Source.EXCLUSION:
-            return _some(deletes.where(admits(ranges))) or _some(touched)
+            return _some(deletes.where(admits(ranges))) or _some(touched) or (not simple and _some(relevant))
         case Source.SCALAR:
             return _some(relevant) or _some(touched)
         case _:
@@ -99,63 +57,116 @@ def must_invalidate(entry: Entry, use: Use, net: DataFrame, columns: list[str],
 
 
 def apply_changes(engine: Engine, table: str, batch: DataFrame) -> None:
-    """Apply one table's batch to the base table and to every cached query that uses it."""
+    """Apply one table's batch to the base table and to every cached query that uses it.
+
+    A table without a key takes inserts and deletes of whole rows; what was
+    cached from it is loaded anew.
+    """
     columns, key = engine.base[table].columns, engine.keys[table]
     batch = batch.where(F.col("lsn") > engine.applied.get(table, -(2**62)))
-    top, cut = batch.agg(F.max("lsn"), F.max(F.when(F.col("op") == "T", F.col("lsn")))).first()
+    top, cut, updates = batch.agg(F.max("lsn"), F.max(F.when(F.col("op") == "T", F.col("lsn"))), F.count(F.when(F.col("op") == "U", 1))).first()
     if top is None:
         return
-    base = engine.base[table]
+    if not key and updates:
+        raise ValueError(f"{table} has no key, so an update doesn't say which row it changes")
+    version: Snapshot = engine.versions[table]
     if cut is not None:
-        base, batch = base.limit(0), batch.where(F.col("lsn") > cut)
-    net, net_path = engine.store.put(net_changes(batch, columns, key))
-    engine.base[table], _ = engine.store.put(upsert(base, net, key))
+        batch = batch.where(F.col("lsn") > cut)
+    if not key:
+        rows = version.frame.limit(0) if cut is not None else version.frame
+        engine.versions[table], net, net_path = version.replaced(without_key(rows, batch)), None, None
+    else:
+        net = net_changes(batch, columns, key)
+        if "unchanged" in net.columns:
+            net = completed(net, version.frame if cut is None else version.frame.limit(0), key)
+        net, net_path = engine.store.put(net)
+        engine.versions[table] = version.changed(net) if cut is None else version.replaced(net.where("op <> 'D'").select(*columns))
+    engine.base[table] = engine.versions[table].frame
     engine.applied[table] = top
     for entry in list(engine.entries.values()):
-        if entry.state is not State.READY or table not in entry.rows:
+        if entry.state is not State.READY or table not in entry.kept:
             continue
         entry.result_fresh = False
         used = [u for u in analysis.uses(entry.spec) if u.table == table]
-        if cut is not None or not entry.paths or any(must_invalidate(entry, u, net, columns, key) for u in used):
+        if net is None or cut is not None or entry.borrowed or any(must_invalidate(entry, u, net, columns, key) for u in used):
             engine.invalidate(entry)
-            continue
-        admitted = reduce(lambda a, b: a | b, [admits({c: r for c, r in analysis.constraints(u.branch).of(u.label).items() if c in columns}) for u in used])
-        old = entry.paths[table]
-        entry.rows[table], entry.paths[table] = engine.store.put(upsert(entry.rows[table], net, key, admitted))
-        engine._forget(old)
-    engine.store.drop(net_path)
+        else:
+            entry.kept[table] = entry.kept[table].changed(net, admitted(entry.spec, table, columns))
+    if net_path:
+        engine.store.drop(net_path)
+
+
+class Transactions:
+    """Changelog rows of transactions that are not yet complete, kept between micro-batches.
+
+    Rows carry ``txn``; an event of op C says that its transaction is whole.
+    Rows without ``txn`` are whole by themselves.
+    """
+
+    def __init__(self, engine: Engine):
+        self.store, self.held, self.path = engine.store, None, None
+
+    def whole(self, batch: DataFrame) -> DataFrame:
+        """The rows, of this batch and those before, of all transactions whose end has come."""
+        if "txn" not in batch.columns:
+            return batch
+        rows = batch if self.held is None else self.held.unionByName(batch)
+        rows, path = self.store.put(rows)
+        ended = rows.where("op = 'C'").select("txn").distinct()
+        waiting, before = rows.where("txn IS NOT NULL").join(ended, "txn", "left_anti").select(*rows.columns), self.path
+        self.held, self.path = self.store.put(waiting)
+        if before:
+            self.store.drop(before)
+        self._read = path
+        return rows.where("op <> 'C' AND txn IS NULL").unionByName(rows.where("op <> 'C'").join(ended, "txn", "left_semi").select(*rows.columns))
+
+    def done(self) -> None:
+        """The rows that ``whole`` gave have been applied."""
+        if path := getattr(self, "_read", None):
+            self.store.drop(path)
+            self._read = None
 
 
 def follow(engine: Engine, stream: DataFrame, checkpoint: str) -> StreamingQuery:
     """Apply a changelog stream: micro-batches with a ``table`` column and the row as JSON in ``row``.
 
-    Tables that nothing was registered for are ignored. The driver applies one
-    batch at a time; a batch that is delivered again changes nothing.
+    Tables that nothing was registered for are ignored. Where rows carry
+    ``txn``, a transaction is applied when its end has come. The driver applies
+    one batch at a time; a batch that is delivered again changes nothing.
     """
+    transactions = Transactions(engine)
 
     def apply(batch: DataFrame, _: int) -> None:
-        batch.persist()
+        batch = transactions.whole(batch)
         for name in [r[0] for r in batch.where(F.col("table").isin(*engine.base)).select("table").distinct().collect()]:
             schema = engine.base[name].schema
             key = ", ".join(f"old_{k} {schema[k].dataType.simpleString()}" for k in engine.keys[name])
-            rows = batch.where(F.col("table") == name).select("op", "lsn", F.from_json("row", schema).alias("r"), F.from_json("key", key).alias("k"))
-            apply_changes(engine, name, rows.select("op", "lsn", "r.*", "k.*"))
-        batch.unpersist()
+            rows = batch.where(F.col("table") == name).select("op", "lsn", F.from_json("row", schema).alias("r"), *([F.from_json("key", key).alias("k")] if key else []))
+            apply_changes(engine, name, rows.select("op", "lsn", "r.*", *(["k.*"] if key else [])))
+        transactions.done()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_per_key(spark: SparkSession, source: str, schema, key: str, order: list[str], checkpoint: str) -> DataFrame:
-    """Last write per key over a stream of rows, held as a snapshot that each micro-batch replaces."""
-    from tidemark.cache.store import Store
+    """Last write per key over a stream of rows, held as a snapshot and the net changes since.
 
+    A micro-batch that brings an older row of a key doesn't replace the newer
+    one. Rows with a null key are one key's.
+    """
     store, held = Store(spark), {}
+    columns = [f.name for f in schema.fields]
 
     def apply(batch: DataFrame, _: int) -> None:
-        rows = batch if "df" not in held else held["df"].unionByName(batch)
-        last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
-        held["df"], _ = store.put(last)
+        last = lambda rows: rows.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key")).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r"))
+        fresh = last(batch).select(F.lit("I").alias("op"), "_key", "r.*")
+        if "rows" not in held:
+            held["rows"] = Snapshot.of(store, ["_key"], fresh.drop("op"))
+            return
+        older = held["rows"].frame.join(fresh.select("_key"), "_key", "left_semi").select("_key", *columns)
+        newest = last(older.unionByName(fresh.drop("op")).drop("_key")).select(F.lit("I").alias("op"), "_key", "r.*")
+        held["rows"] = held["rows"].changed(newest)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return held["df"] if "df" in held else spark.createDataFrame([], schema)
+    return held["rows"].frame.select(*columns) if "rows" in held else spark.createDataFrame([], schema)
