@@ -143,7 +143,9 @@ class Training:
 
 
 #: What separates the lines and sentences of a text.
-PIECE = r"\n|(?<=[.!?])\x20+(?=[A-Z])"
+PIECE = r"\n|\x20(?<=[.!?]\x20)\x20*(?=[A-Z])"
+#: What separates the sentences of lines that belong together. Looking back from a character that may separate is cheaper than from each.
+SENTENCE = r"[\x20\t\r\n#*/;%!-](?<=[.!?][\x20\t\r\n#*/;%!-])[\x20\t\r\n#*/;%!-]*(?=[A-Z])"
 #: White space and the marks of comments, which stand at the starts of lines and alone on blank ones.
 _MARKS = r"[\x20\t\x0B\f\r#*/;%!-]*"
 #: Words of a joined text that are classified at once, and how many of them the next ones repeat; notices are shorter than that.
@@ -159,19 +161,20 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     line or sentence. A whole of more than ``SPAN`` words is given as spans
     that overlap, so that it can't hold a notice by its mere length.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     joined = lambda b: F.regexp_replace(b, rf"[\x20\t\x0B\f\r]*\n{_MARKS}", " ")
-    blocks = F.filter(F.split(text, rf"\n(?:{_MARKS}\n)+", -1), lambda b: b.rlike(PIECE))
-    sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, r"(?<=[.!?])[\x20\t\r\n#*/;%!-]+(?=[A-Z])", -1)))
+    rows = once(rows, "_blocks", F.filter(F.split("text", rf"\n(?:{_MARKS}\n)+", -1), lambda b: b.rlike(PIECE)))
+    sentences = F.flatten(F.transform("_blocks", lambda b: F.split(b, SENTENCE, -1)))
     wrapped = F.transform(F.filter(sentences, lambda x: F.btrim(x, F.lit(SPACES)).contains("\n")), joined)
 
     def spans(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - OVERLAP, F.lit(1)), F.lit(SPAN - OVERLAP))
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, SPAN), " "))
 
-    whole = F.flatten(F.transform(blocks, lambda b: spans(F.split(joined(b), " +", -1))))
-    pieces = F.concat(F.split(text, PIECE, -1), wrapped, whole)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(pieces).alias("paragraph", "text"))
+    words = F.transform("_blocks", lambda b: F.split(joined(b), " +", -1))
+    whole = F.flatten(F.transform(words, spans))
+    pieces = F.concat(F.split("text", PIECE, -1), wrapped, whole)
+    rows = rows.select("doc_id", F.posexplode(pieces).alias("paragraph", "text"))
     return rows.withColumn("text", F.btrim("text", F.lit(SPACES))).where("text <> ''")
 
 
