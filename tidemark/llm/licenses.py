@@ -178,9 +178,14 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.btrim("text", F.lit(SPACES))).where("text <> ''")
 
 
+#: What stands between the words of a paragraph in lower case. Java looks characters that are named one by one up in a table, but
+#: tests ranges in turn, which takes five times as long.
+BETWEEN = "[^abcdefghijklmnopqrstuvwxyz0123456789.+-]+|[.](?![0123456789])"
+
+
 def with_features(rows: DataFrame, buckets: int) -> DataFrame:
     """Add ``_grams``: buckets of the lower-cased words, without punctuation at their ends, and of pairs."""
-    clean = F.regexp_replace(F.lower("text"), r"[^a-z0-9.+-]+|[.](?![0-9])", " ")
+    clean = F.regexp_replace(F.lower("text"), BETWEEN, " ")
     rows = once(rows, "_clean", F.btrim(clean))
     rows = once(rows.where("_clean <> ''"), "_hashes", ngrams.hashes(F.split("_clean", " +", -1)))
     rows = once(rows, "_pairs", ngrams.neighbours(F.col("_hashes")))
