@@ -292,13 +292,17 @@ def scan(documents: DataFrame, model: Model, training: Training = Training()) ->
     Every paragraph of every text is classified; those of the unknown class
     have no row. A notice can have a row for its line and one for what it is
     joined into. ``similarity`` is the largest share of a family template's
-    distinct buckets that the paragraph holds. Null and empty texts have no
+    distinct buckets that the paragraph holds. The sum of each bucket's largest
+    lead over the unknown class bounds every family's lead, so a paragraph in
+    which it isn't reached is of the unknown class. Null and empty texts have no
     paragraphs; repeated rows give repeated results. No row is moved.
     """
     rows = with_features(paragraphs(documents), training.buckets)
+    lead, ahead = (model.weights[:, :-1] - model.weights[:, -1:]).max(axis=1), int((model.bias[:-1] - model.bias[-1]).max())
+    scale = F.sqrt(F.size("_grams").cast("double"))
+    rows = rows.where(ngrams.score(F.col("_grams"), ngrams.table(lead.tolist())) / scale + F.lit(ahead) >= -1)
     weighty = F.split(F.lit(",".join("1" if row.any() else "0" for row in model.weights)), ",").cast("array<int>")
     rows = once(rows, "_hits", F.filter("_grams", lambda g: F.get(weighty, g) == 1)).where(F.size("_hits") > 0)
-    scale = F.sqrt(F.size("_grams").cast("double"))
     logits = [ngrams.score(F.col("_hits"), ngrams.table(model.weights[:, k].tolist())) / scale + F.lit(int(model.bias[k])) for k in range(len(model.classes))]
     rows = once(rows, "_logits", F.array(*logits)).withColumn("_top", F.array_max("_logits"))
     rows = once(rows, "_class", F.array_position("_logits", F.col("_top")).cast("int")).where(F.col("_class") <= len(TEMPLATES))
