@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ngrams
-from tidemark.llm.common import SPACES, once
+from tidemark.llm.common import SPACES, Tables, once
 
 #: Notices by family, as licensors write them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -131,9 +131,10 @@ class Model:
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and rates of the fit: at most ``sample`` corpus paragraphs are read as the unknown class."""
+    """Bounds and rates of the fit: at most ``sample`` paragraphs of ``documents`` corpus texts are read as the unknown class."""
 
     sample: int = 2000
+    documents: int = 4000
     buckets: int = ngrams.BUCKETS
     rounds: int = 300
     rate: float = 0.5
@@ -223,11 +224,19 @@ def unlike(rows: DataFrame, templates: dict[str, list[list[int]]], training: Tra
         asked *= 4
 
 
+def lowest_texts(documents: DataFrame, most: int) -> DataFrame:
+    """The distinct texts of the ``most`` lowest hashes, with a null doc_id: a bounded sample in which copies count once."""
+    hashed = documents.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
+    hashes = [r[0] for r in hashed.select("_hash").distinct().orderBy("_hash").limit(most).collect()]
+    lowest = hashed.where(F.col("_hash") <= (hashes[-1] if hashes else 0)).distinct()
+    return lowest.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
+
+
 def train(spark: SparkSession, documents: DataFrame, training: Training = Training()) -> Model:
     """Fit the classifier on the buckets that notices have.
 
     The sample is the distinct paragraphs of the lowest hashes that no template
-    confirms. One that speaks of licences without being one is among them. The
+    confirms, out of a bounded number of texts. One that speaks of licences without being one is among them. The
     chances are calibrated on rows that the fit hasn't seen: notices in other
     words, every third near miss and every tenth paragraph of the sample.
     """
@@ -240,7 +249,10 @@ def train(spark: SparkSession, documents: DataFrame, training: Training = Traini
     templates: dict[str, list[list[int]]] = {}
     for row in notices:
         templates.setdefault(row["kind"], []).append(sorted(set(row["grams"])))
-    sample = unlike(paragraphs(documents), templates, training).select(F.lit(UNKNOWN).alias("kind"), "text")
+    tables = Tables(spark)
+    texts = tables.put("texts", lowest_texts(documents, training.documents))
+    sample = unlike(paragraphs(texts), templates, training).select(F.lit(UNKNOWN).alias("kind"), "text")
+    tables.drop("texts")
     sample = sample.select("kind", (F.pmod(F.xxhash64("text"), F.lit(10)) == 9).alias("held"), "text")
     rows = with_features(labelled.unionByName(sample), training.buckets)
     rows = rows.select("kind", "held", F.col("_grams").alias("grams"), F.xxhash64("text").alias("at")).orderBy("kind", "held", "at").collect()
