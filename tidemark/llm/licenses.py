@@ -228,7 +228,7 @@ def lowest_texts(documents: DataFrame, most: int) -> DataFrame:
     """The distinct texts of the ``most`` lowest hashes, with a null doc_id: a bounded sample in which copies count once."""
     hashed = documents.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
     hashes = [r[0] for r in hashed.select("_hash").distinct().orderBy("_hash").limit(most).collect()]
-    lowest = hashed.where(F.col("_hash") <= (hashes[-1] if hashes else 0)).distinct()
+    lowest = hashed.where(F.col("_hash") <= hashes[-1] if hashes else F.lit(False)).distinct()
     return lowest.select(F.lit(None).cast("bigint").alias("doc_id"), "text")
 
 
