@@ -135,6 +135,31 @@ def attach(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFram
     return found.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in names])
 
 
+#: Bits of a sieve for each key, its bits at most (8 MB), and the bits that one of Spark's bitmaps holds, 2 to the 15th.
+SIEVE_SHARE, SIEVE_BITS, MAP_BITS = 16, 1 << 26, 1 << 15
+
+
+def may_be_among(rows: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """Add boolean ``name``: false only for rows whose ``key``, a bigint, is null or not in ``keys``.
+
+    Each key sets the bit of its hash in bitmaps, which are broadcast. Of the
+    other rows about one in ``SIEVE_SHARE`` is true too, more when the keys
+    are so many that the bits reach their bound; an exact join must follow. So
+    rows that are long but mostly not wanted needn't be shuffled for it.
+    ``keys`` is read twice: a written table is best.
+    """
+    bits = MAP_BITS
+    while bits < min(SIEVE_BITS, SIEVE_SHARE * keys.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    places = keys.where(F.col(key).isNotNull()).select(F.shiftright(place, 15).alias("_map"), (place % MAP_BITS).alias("_bit"))
+    maps = places.repartition(min(width(rows.sparkSession), bits // MAP_BITS), "_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = place % MAP_BITS
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_map", F.when(F.col(key).isNotNull(), F.shiftright(place, 15))).join(F.broadcast(maps), "_map", "left")
+    return found.select(*rows.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias(name))
+
+
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once per row.
 

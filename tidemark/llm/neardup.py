@@ -8,7 +8,8 @@
    they are much alike. Within a band bucket, pairs whose count lies within
    reach of the threshold are joined into trees, and trees into clusters.
 3. Texts of clustered nodes only are gathered by cluster, and every pair within
-   a cluster is held against the threshold on the full sets.
+   a cluster is held against the threshold on the full sets. Other texts are
+   sieved out where they are read, but for a few, so they aren't shuffled.
 
 Buckets and clusters over a block's size are split into chunks, so no task holds
 more than two chunks of one. First every chunk is compared within itself and
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Tables, attach, by_group, ship, width
+from tidemark.llm.common import Tables, attach, by_group, may_be_among, ship, width
 from tidemark.llm.components import components
 
 SAMPLES = 256
@@ -286,13 +287,18 @@ def _placed(documents: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
     members = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
     sketches = nodes.select("node", "n_shingles", "odd")
     near = _links_in_groups(members, "band", SKETCH_CHUNK, lambda blocks: _close_in_sketch(blocks.join(sketches, "node"), rule), passing)
-    clusters = tables.put("clusters", components(near).withColumnRenamed("root", "cluster"))
+    places = nodes.select("node", "doc_id")
+    clusters = tables.put("clusters", components(near).withColumnRenamed("root", "cluster").join(places, "node"))
     passing.drop(*passing.held)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = nodes.select("node", "doc_id")
-    linked = _links_in_groups(clusters, "cluster", TEXT_CHUNK, lambda blocks: _linked_in_full(blocks.join(places, "node").join(texts, "doc_id").drop("doc_id"), rule), passing)
+    wanted = may_be_among(texts, clusters, "doc_id", "_wanted").where("_wanted").drop("_wanted")
+    places = clusters.select("node", "doc_id")
+
+    def compared(blocks: DataFrame) -> DataFrame:
+        return _linked_in_full(blocks.join(places, "node").join(wanted, "doc_id").drop("doc_id"), rule)
 
+    linked = _links_in_groups(clusters, "cluster", TEXT_CHUNK, compared, passing)
     roots = tables.put("components", components(linked))
     passing.drop(*passing.held)
     named = nodes.select("node", "copies", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
