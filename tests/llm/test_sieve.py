@@ -49,6 +49,14 @@ def test_texts_without_a_cluster_are_not_shuffled(spark, large_tables):
     assert 0 < moved < size / 5
 
 
+def test_kept_rows_are_not_shuffled(spark, large_tables):
+    rows, size = lone_and_near()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    found, moved = shuffled(spark, lambda: neardup.keep_one(frame).collect())
+    assert sorted(tuple(r) for r in found) == rows[:-1]
+    assert 0 < moved < size / 5
+
+
 @pytest.mark.parametrize("most", [1 << 15, 1 << 26])
 def test_sieve_misses_no_key(spark, most, monkeypatch):
     monkeypatch.setattr(common, "SIEVE_BITS", most)

@@ -338,14 +338,17 @@ def keep_one(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own = F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("keeper")))
     found = _placed(documents, rule, tables).where("doc_id IS NOT NULL").withColumn("own", own)
     best = F.struct(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"))
-    ids = tables.put("ids", found.groupBy(F.col("doc_id").alias("_id")).agg(best.alias("_of")).select("_id", "_of.*").where("own"))
-    single = ids.where("n = 1").select("_id")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(best.alias("_of")).select("_id", "_of.*")
+    ids = tables.put("ids", ids.where("NOT own OR n > 1"))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
-    kept = rows.join(single, "_id", "left_semi").unionByName(rows.where("_id IS NULL")).select("_row.*")
-    several = ids.where("n > 1").select("_id")
+    rows = may_be_among(rows, ids, "_id", "_asked")
+    # Most rows stay where they are read; what the sieve holds back, false hits included, is asked exactly.
+    asked = rows.where("_asked").drop("_asked")
+    kept = rows.where("NOT _asked").drop("_asked").unionByName(asked.join(ids, "_id", "left_anti")).select("_row.*")
+    several = ids.where("own AND n > 1").select("_id")
     if several.isEmpty():
         return kept
-    rows = rows.join(several, "_id", "left_semi")
+    rows = asked.join(several, "_id", "left_semi")
     rows = _with_node(rows.select("_id", F.col("_row.text").cast("string").alias("_text"), "_row"), rule)
     pairs = found.where("own").join(several, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_set")).distinct()
     rows = rows.join(pairs, (F.col("_id") == F.col("_doc")) & F.col("_node").eqNullSafe(F.col("_set")), "left_semi")
